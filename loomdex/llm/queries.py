@@ -12,6 +12,12 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import edited_neighbours
+
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_duplicates
 
@@ -45,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_ngram_join, op6_sharding, op8_mixing, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op4_ngram_join, op6_sharding, op8_mixing, op10_bpe)}
 
 
 OP2_SQL = r"""
