@@ -37,6 +37,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out
+    from .toxicity import PREDICT_AT, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0).alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -59,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op4_ngram_join, op6_sharding, op8_mixing, op9_langid, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op4_ngram_join, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe)}
 
 
 OP2_SQL = r"""

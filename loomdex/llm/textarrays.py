@@ -28,9 +28,10 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NOT_LETTER = np.ones(256, bool)
+_NOT_LETTER[65:91] = _NOT_LETTER[97:123] = _NOT_LETTER[128:] = False
 _BYTE = stream(11, 256)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BYTE_CASED = stream(11, 256)
 _STEP = int(stream(5, 1)[0]) | 1
 _WEIGHTS = stream(77, SHINGLE)
 _SHORT = stream(99, SHINGLE)
@@ -61,13 +62,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
-def _hash_block(data: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, first: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a block, and where each word starts. first: where texts begin, so that no word spans two."""
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     power, inverse = _power_tables(max(n + 1, BLOCK))
-    space = _IS_SPACE[data]
+    space = gaps[data]
     before = np.empty(n, bool)
     before[0], before[1:] = True, space[:-1]
     before[first] = True
@@ -77,7 +78,7 @@ def _hash_block(data: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple
     after[-1], after[:-1] = True, space[1:]
     after[first[first > 0] - 1] = True
     ends = np.flatnonzero(word & after)
-    sums = table[data]
+    sums = _BYTE[data]
     sums *= power[:n]
     np.cumsum(sums, out=sums)
     h = sums[ends]
@@ -103,14 +104,15 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def words(column: pa.Array, cased: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, letters: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Word hashes of a column of texts, block by block.
 
     Yields (lo, hi, counts, hashes): rows lo to hi - 1, words of each, and the hashes of all of them in order. A word
-    is a maximal run without ASCII white space; A-Z are lower-cased unless ``cased``. Memory is bounded by BLOCK for
+    is a maximal run without ASCII white space or, with ``letters``, of ASCII letters and bytes of other scripts; A-Z are
+    lower-cased. Memory is bounded by BLOCK for
     short texts and by eight bytes a word for a longer one.
     """
-    table = _BYTE_CASED if cased else _BYTE
+    gaps = _NOT_LETTER if letters else _IS_SPACE
     offsets, data = buffers(column)
     lo, rows = 0, len(offsets) - 1
     with np.errstate(over="ignore"):
@@ -118,14 +120,14 @@ def words(column: pa.Array, cased: bool = False) -> Iterator[tuple[int, int, np.
             hi = int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1
             hi = min(max(hi, lo + 1), rows)
             if offsets[hi] - offsets[lo] > BLOCK:
-                parts = [_hash_block(x, np.zeros(0, np.int64), table)[0] for x in _pieces(data[offsets[lo] : offsets[hi]])]
+                parts = [_hash_block(x, np.zeros(0, np.int64), gaps)[0] for x in _pieces(data[offsets[lo] : offsets[hi]])]
                 h = np.concatenate(parts)
                 yield lo, hi, np.array([len(h)]), h
             else:
                 base = offsets[lo]
                 at = offsets[lo : hi + 1] - base
                 first = at[:-1][at[:-1] < at[1:]]
-                h, starts = _hash_block(data[base : offsets[hi]], first, table)
+                h, starts = _hash_block(data[base : offsets[hi]], first, gaps)
                 yield lo, hi, np.diff(np.searchsorted(starts, at)), h
             lo = hi
 
