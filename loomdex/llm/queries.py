@@ -24,6 +24,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find, listed, train
+
+    found = find(table(spark, sf_dir, "documents"), train(spark))
+    counts = [F.size(f"base_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_components
 
@@ -68,7 +76,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op4_ngram_join, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe)}
 
 
 OP2_SQL = r"""
