@@ -38,6 +38,13 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chat
+
+    out = format_chat(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "position", "root_turn", "reply_to", "n_quotes", "n_linked", F.size("unlinked").alias("n_unlinked"), "chat")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -76,7 +83,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op5_chat, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe)}
 
 
 OP2_SQL = r"""
