@@ -44,7 +44,7 @@ WIDE = {
 }
 #: A cheap test that a text must pass to hold a match at all.
 _HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-_WIDE_HINT = {"email": r"(?:\(at\)|\[at\]|\bat\b)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}[./_ -]", "phone": r"[0-9][ .)-]"}
+_WIDE_HINT = {"email": r"[(\[]at[)\]]| at [A-Za-z0-9-]{2,63}+(?: dot |[.(\[])", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}[./_ -]", "phone": r"[0-9][ .)-]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _CUE = r"(?i)(?:tel|phone|call|fax|mobile|cell|mail|contact|write|reach|card|visa|credit|ip|addr|host|server)[^0-9]{0,12}$"
 _AGAINST = r"(?i)(?:order|invoice|version|isbn|id|no|nr|ref|code|serial|part|date|page|total|price|[#$])[^0-9]{0,6}$"
@@ -264,7 +264,9 @@ def find(docs: DataFrame, model: Trees) -> DataFrame:
         return clear
 
     def added(kind: str) -> Column:
-        return F.filter(f"wide_{kind}", lambda s: free(s) & (model.margin(features(text, kind, s)) >= model.accept[kind]))
+        # features are worked out once for a candidate, before the trees look at them
+        seen = F.transform(F.filter(f"wide_{kind}", free), lambda s: F.struct(s.alias("s"), features(text, kind, s).alias("x")))
+        return F.transform(F.filter(seen, lambda v: model.margin(v["x"]) >= model.accept[kind]), lambda v: v["s"])
 
     both = [F.when(F.size(f"wide_{k}") == 0, F.col(f"base_{k}")).otherwise(F.array_sort(F.concat(f"base_{k}", added(k)))).alias(f"all_{k}") for k in KINDS]
     return d.select("doc_id", "text", *[f"base_{k}" for k in KINDS], *both)
