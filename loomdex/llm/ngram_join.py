@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import keep_by_id, needs, salted_lookup, stored, text_of
 from .components import components
-from .textarrays import mix, shingles, words
+from .textarrays import mix, release, shingles, words
 
 PERCENT = 75
 #: Tokens that a task packs at a time, and members of a block of a group. Neither changes the result.
-FLUSH = 2_000_000
+FLUSH = 500_000
 BLOCK_MEMBERS = 64
 #: A token in this share of the texts of a pack, and in so many at least, is frequent.
 FREQUENT_SHARE, FREQUENT_LEAST = 256, 32
@@ -70,6 +70,7 @@ def classes(docs: DataFrame) -> DataFrame:
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             ids = np.concatenate(ids).view(np.int64) if ids else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, mask=n == 0)], ["doc_id", "n_shingles", "cls"])
+        release()
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint")
 
@@ -129,8 +130,8 @@ def _pack(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], buckets: i
             yield _packed(int(bucket[lo]), tokens[lo:hi], ords[lo:hi], ids, sizes)
 
 
-def _shared(key: int, rows: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(class, set size, tokens, counts) of the postings whose token occurs in two classes at least."""
+def _shared(key: int, rows: list[tuple], buckets: int) -> Iterator[tuple]:
+    """The postings whose token occurs in two classes at least, packed for the class buckets; last the counts of the distinct tokens."""
     parts = [_unpacked(*r) for r in rows]
     tokens, ids, sizes = (np.concatenate([p[k] for p in parts]) for k in range(3))
     marked = np.unique(np.concatenate([p[3] for p in parts]))
@@ -162,11 +163,32 @@ def _shared(key: int, rows: list[tuple]) -> Iterator[tuple[int, int, np.ndarray,
     tokens, ids, sizes, count = tokens[keep], ids[keep], sizes[keep], count[keep]
     if not len(tokens):
         return
-    order = np.argsort(ids, kind="stable")
-    tokens, ids, sizes, count = tokens[order], ids[order], sizes[order], count[order]
+    own = (ids % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(own, kind="stable")  # tokens stay sorted within a bucket
+    tokens, ids, sizes, count, own = tokens[order], ids[order], sizes[order], count[order], own[order]
+    edges = np.flatnonzero(np.diff(own)) + 1
+    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(own)], strict=True):
+        listed, at, ords = np.unique(ids[lo:hi], return_index=True, return_inverse=True)
+        new = np.concatenate([[True], tokens[lo + 1 : hi] != tokens[lo : hi - 1]])
+        yield *_packed(int(own[lo]), tokens[lo:hi], ords, listed, sizes[lo:hi][at]), count[lo:hi][new].astype(np.uint32).tobytes()
+
+
+def _merged(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(class, set size, shared tokens from rare to frequent) of the classes with enough shared tokens."""
+    parts = []
+    for *packed, counts in rows:
+        tokens, ids, sizes, _ = _unpacked(*packed)
+        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        parts.append((tokens, ids, sizes, np.frombuffer(counts, np.uint32)[np.cumsum(new) - 1]))
+    tokens, ids, sizes, count = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    order = np.lexsort((tokens, count, ids))
+    tokens, ids, sizes = tokens[order], ids[order], sizes[order]
+    fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])])
+    tokens, ids, sizes = tokens[fresh], ids[fresh], sizes[fresh]
     edges = np.flatnonzero(ids[1:] != ids[:-1]) + 1
     for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True):
-        yield int(ids[lo : lo + 1].view(np.int64)[0]), int(sizes[lo]), tokens[lo:hi], count[lo:hi]
+        if (hi - lo) * 100 >= int(sizes[lo]) * percent:
+            yield int(ids[lo : lo + 1].view(np.int64)[0]), int(sizes[lo]), tokens[lo:hi].view(np.int64)
 
 
 def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH, share: int = FREQUENT_SHARE, least: int = FREQUENT_LEAST) -> DataFrame:
@@ -195,32 +217,34 @@ def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH,
                     yield rows()
                     held.clear()
                     weight = 0
+                    release()
         if held:
             yield rows()
+            held.clear()
+        release()
 
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("toks", pa.binary()), ("counts", pa.binary())])
+    packed = [f.name for f in _PACK][1:]
+    shared = _PACK.append(pa.field("counts", pa.binary()))
+    sets = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("toks", pa.list_(pa.int64()))])
 
-    def count(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("first", "gaps", "ords", "ids", "sizes")), strict=True))
-        found = list(_shared(table.column("key")[0].as_py(), rows))
-        return pa.table([[c for c, *_ in found], [n for _, n, *_ in found], [len(t) for _, _, t, _ in found], [t.tobytes() for _, _, t, _ in found], [c.astype(np.uint32).tobytes() for *_, c in found]], schema=schema)
+    def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    sent = _texts(docs).mapInArrow(send, "key bigint, first bigint, gaps binary, ords binary, ids binary, sizes binary")
-    parts = sent.groupBy("key").applyInArrow(count, "cls bigint, n bigint, k bigint, toks binary, counts binary")
-    whole = parts.groupBy("cls").agg(F.first("n").alias("n"), F.sum("k").alias("k"), F.collect_list(F.struct("toks", "counts")).alias("parts"))
-    able = whole.where(f"k * 100 >= n * {percent}").select("cls", "n", "parts")
+    def count(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in packed), strict=True))
+        out = table_of(list(_shared(table.column("key")[0].as_py(), rows, buckets)), shared)
+        release()
+        return out
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for parts in batch.column(2):
-                t = np.concatenate([np.frombuffer(p["toks"].as_py(), np.uint64) for p in parts])
-                c = np.concatenate([np.frombuffer(p["counts"].as_py(), np.uint32) for p in parts])
-                t, at = np.unique(t, return_index=True)
-                out.append(t[np.lexsort((t, c[at]))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["cls", "n", "toks"])
+    def merge(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in [*packed, "counts"]), strict=True))
+        return table_of(list(_merged(rows, percent)), sets)
 
-    return able.mapInArrow(order, "cls bigint, n bigint, toks array<bigint>").where(f"size(toks) * 100 >= n * {percent}")
+    ddl = "key bigint, first bigint, gaps binary, ords binary, ids binary, sizes binary"
+    sent = _texts(docs).mapInArrow(send, ddl)
+    counted = sent.groupBy("key").applyInArrow(count, ddl + ", counts binary")
+    return counted.groupBy("key").applyInArrow(merge, "cls bigint, n bigint, toks array<bigint>")
 
 
 def _need(n: str, percent: int) -> str:
@@ -245,16 +269,19 @@ def links(sets: DataFrame, percent: int = PERCENT, block_members: int = BLOCK_ME
     skipped = "(n - size(toks))"
     probe = F.expr(f"greatest(0, n - {_need('n', percent)} + 1 - {skipped})")
     index = F.expr(f"greatest(0, n - ((2 * n * {percent} + {99 + percent}) div {100 + percent}) + 1 - {skipped})")
-    rows = sets.select("cls", "n", index.alias("_index"), F.posexplode(F.slice("toks", F.lit(1), probe)).alias("pos", "tok"))
-    prefix = stored(rows.select("cls", "n", "tok", (F.col("pos") < F.col("_index")).alias("short")), "prefix")
+    rows = sets.select("cls", "n", F.expr(f"{skipped} / n").alias("_own_part"), "toks", index.alias("_index"), F.posexplode(F.slice("toks", F.lit(1), probe)).alias("pos", "tok"))
+    # rest: tokens from this one on, the most that a pair can share whose first common token it is
+    rest = F.expr("cast(size(toks) - pos as bigint)")
+    prefix = stored(rows.select("cls", "n", "_own_part", "tok", rest.alias("rest"), (F.col("pos") < F.col("_index")).alias("short")), "prefix")
     found: DataFrame | None = None
     for r in range(rounds):
         ask = prefix if found is None else prefix.join(found.select(F.col("a").alias("cls")).union(found.select("b")).distinct(), "cls", "left_anti")
-        order = F.struct(F.xxhash64(F.lit(r), "cls").alias("o"), "cls")
-        # the leader of a token must be able to be a partner: one with the token in its short prefix
-        lead = prefix.where("short").groupBy("tok").agg(F.min(order).alias("_lead"))
-        said = ask.join(lead, "tok").select(F.col("cls").alias("a"), F.col("_lead.cls").alias("b")).where("a <> b")
-        best = said.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        # an original has few tokens of its own, its edited copies have more: it leads first; then whoever the hash says
+        orders = [F.struct("_own_part", "cls")] if r == 0 else [F.struct(F.xxhash64(F.lit(r * 100 + k), "cls").alias("o"), "cls") for k in range(4)]
+        lead = prefix.where("short").groupBy("tok").agg(F.array(*[F.min(o)["cls"] for o in orders]).alias("_lead"))
+        said = ask.join(lead, "tok").select(F.col("cls").alias("a"), F.explode(F.array_distinct("_lead")).alias("b")).where("a <> b")
+        rank = Window.partitionBy("a").orderBy(F.col("count").desc(), "b")
+        best = said.groupBy("a", "b").count().withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= len(orders)).select("a", "b")
         new = _verified(best, sets, percent)
         found = stored(new if found is None else found.union(new), f"links{r}")
     groups = components(found).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
@@ -267,10 +294,12 @@ def links(sets: DataFrame, percent: int = PERCENT, block_members: int = BLOCK_ME
     known = prefix.join(names.drop("n"), "cls")
     mixed = known.groupBy("tok").agg(F.min("grp").alias("_g0"), F.max("grp").alias("_g1")).where("_g0 <> _g1").select("tok")
     known = stored(known.join(mixed, "tok", "left_semi"), "mixed")
-    cells = known.where("short").groupBy("tok", "grp", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    asks = known.select("tok", "cls", "n", F.col("grp").alias("_own"))
-    meet = asks.join(cells, "tok").where(f"_own <> grp and n >= n0 and n * {percent} <= n1 * 100")
-    meet = stored(meet.groupBy("cls", "grp", "block").agg(F.first("n").alias("n")), "meetings")
+    cells = known.where("short").groupBy("tok", "grp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("rest").alias("most"))
+    asks = known.select("tok", "cls", "n", "rest", F.col("grp").alias("_own"))
+    close = _overlap_ok("least(rest, most)", "n", f"greatest(n0, {_need('n', percent)})", percent)
+    meet = asks.join(cells, "tok").where(f"_own <> grp and n >= n0 and n * {percent} <= n1 * 100 and {close}")
+    meet = stored(meet.groupBy("cls", "grp").agg(F.first("n").alias("n")), "meetings")
+    meet = meet.join(names.select("grp", "block").distinct(), "grp")
     # unions of the blocks that are met
     met = meet.select("grp", "block").distinct()
     inside = names.join(met, ["grp", "block"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,13 @@ BLOCK = 1 << 20
 SHINGLE = 5
 
 
+def release() -> None:
+    """Give freed memory back, so that a reused Python worker does not keep the peak of each of its tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux has it
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (Steele, Lea and Flood's SplitMix64)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
