@@ -1,9 +1,441 @@
-"""Queries by name, with the SQL that gives the same rows."""
+"""Queries by name, with the SQL that gives the same rows.
 
+The collection is ``documents``, one document per row, numbered doc_id + 1; N is their number.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec, slabs
+from ..functions.weights import idf_weight, tf_weight
+from ..operators import boolean, export, gaps, index, layout, lookup, ranked, workload
+from ..sources import docstream
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Order, id and text of the fixed workload: known, unknown and repeated terms, a repeated id, an empty query.
+WORKLOAD = sql.WORKLOAD
+TERMS = ("the", "of", "in", "que", "zzzzmissing")
+TARGETS = (("the", 1), ("the", 100), ("the", 1_000_000_000), ("of", 500), ("in", 999), ("zzzzmissing", 1))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docstream.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build(_documents(spark, sf_dir))
+
+
+def _values(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """A small table of literals."""
+    literal = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS BIGINT)"
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS t({columns})")
+
+
+def _workload(spark: SparkSession) -> DataFrame:
+    q = _values(spark, WORKLOAD, "query_ord, qid, text")
+    return q.select("query_ord", "qid", F.array_distinct(docstream.tokenize(F.col("text"))).alias("terms"))
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docstream.queries_from_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _numbers(spark: SparkSession) -> DataFrame:
+    """Gaps and frequencies around the borders of the codes."""
+    return spark.sql(f"SELECT gap, tf FROM (SELECT explode(array({sql.GAPS})) AS gap) CROSS JOIN (SELECT explode(array({sql.FREQS})) AS tf)").select(F.col("gap").cast("bigint"), F.col("tf").cast("bigint"))  # 20 rows by 10
+
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def tokens(spark, sf_dir):
+    return index.tokens(_documents(spark, sf_dir)).select("docid", F.col("position").cast("bigint").alias("position"), "term")
+
+
+@query
+def postings(spark, sf_dir):
+    return index.postings(_documents(spark, sf_dir))
+
+
+@query
+def positional_postings(spark, sf_dir):
+    p = index.positional_postings(_documents(spark, sf_dir))
+    return p.select("term", "docid", F.array_join("positions", " ").alias("positions"))
+
+
+@query
+def lexicon(spark, sf_dir):
+    return _index(spark, sf_dir).lexicon
+
+
+@query
+def doc_stats(spark, sf_dir):
+    return index.doc_stats(_documents(spark, sf_dir))
+
+
+@query
+def collection_stats(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return index.collection_stats(d, index.lexicon(index.postings(d)))
+
+
+@query
+def pages_collection_stats(spark, sf_dir):
+    d = docstream.from_table(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id", "html")
+    return index.collection_stats(d, index.lexicon(index.postings(d)))
+
+
+@query
+def conversation_lexicon(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    d = c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("docid"), docstream.tokenize(F.col("text")).alias("tokens"))
+    return index.lexicon(index.postings(d))
+
+
+@query
+def doc_term_frequency(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    pairs = d.select("docid", F.explode(F.array(*[F.lit(t) for t in TERMS])).alias("term"))
+    return index.term_frequency(d, pairs)
+
+
+@query
+def term_scan(spark, sf_dir):
+    return lookup.term_scan(index.postings(_documents(spark, sf_dir)), "the")
+
+
+@query
+def next_geq(spark, sf_dir):
+    return lookup.next_geq(index.postings(_documents(spark, sf_dir)), _values(spark, TARGETS, "term, target"))
+
+
+@query
+def query_terms(spark, sf_dir):
+    return lookup.explode_terms(_workload(spark))
+
+
+@query
+def query_stats(spark, sf_dir):
+    return docstream.query_stats(_workload(spark))
+
+
+@query
+def resolved_terms(spark, sf_dir):
+    return lookup.resolve(_workload(spark), _index(spark, sf_dir).lexicon)
+
+
+@query
+def unknown_terms(spark, sf_dir):
+    return lookup.unknown_terms(_workload(spark), _index(spark, sf_dir).lexicon)
+
+
+@query
+def and_count(spark, sf_dir):
+    return boolean.and_count(_workload(spark), _index(spark, sf_dir))
+
+
+@query
+def and_docs(spark, sf_dir):
+    return boolean.and_docs(_workload(spark), _index(spark, sf_dir))
+
+
+@query
+def and_semi_chain(spark, sf_dir):
+    return boolean.and_chain(["the", "and", "of"], _index(spark, sf_dir))
+
+
+@query
+def or_count(spark, sf_dir):
+    return boolean.or_count(_workload(spark), _index(spark, sf_dir))
+
+
+@query
+def or_docs(spark, sf_dir):
+    return boolean.or_docs(_workload(spark), _index(spark, sf_dir))
+
+
+@query
+def and_profile(spark, sf_dir):
+    return boolean.and_profile(_workload(spark), _index(spark, sf_dir))
+
+
+@query
+def ranked_topk(spark, sf_dir):
+    return ranked.ranked(_workload(spark), _index(spark, sf_dir), 10)
+
+
+@query
+def ranked_topk_n_override(spark, sf_dir):
+    return ranked.ranked(_workload(spark), _index(spark, sf_dir), 5, n=123456)
+
+
+@query
+def ranked_returned_count(spark, sf_dir):
+    return ranked.returned_count(_workload(spark), _index(spark, sf_dir), 600)
+
+
+@query
+def ranked_zero_n(spark, sf_dir):
+    return ranked.ranked(_workload(spark), _index(spark, sf_dir), 10, n=0)
+
+
+@query
+def ranked_threshold(spark, sf_dir):
+    return ranked.threshold(ranked.scores(_workload(spark), _index(spark, sf_dir)), 10)
+
+
+@query
+def trec_run(spark, sf_dir):
+    return ranked.trec_run(ranked.ranked(_workload(spark), _index(spark, sf_dir), 10))
+
+
+@query
+def match_stats(spark, sf_dir):
+    return workload.match_stats(boolean.and_count(_workload(spark), _index(spark, sf_dir)))
+
+
+@query
+def floor_percentiles(spark, sf_dir):
+    return workload.floor_percentiles(boolean.or_count(_benchmark(spark, sf_dir), _index(spark, sf_dir)))
+
+
+@query
+def benchmark_as_queries_and(spark, sf_dir):
+    return boolean.and_count(_benchmark(spark, sf_dir), _index(spark, sf_dir))
+
+
+@query
+def benchmark_as_queries_ranked(spark, sf_dir):
+    return ranked.ranked(_benchmark(spark, sf_dir), _index(spark, sf_dir), 10)
+
+
+@query
+def idf_table(spark, sf_dir):
+    n = spark.sql("SELECT n, df FROM (SELECT explode(array(0L, 1L, 1000L, 1000000L)) AS n) CROSS JOIN (SELECT explode(array(1L, 2L, 999L, 1000L)) AS df)")
+    return n.select("n", "df", F.round(idf_weight(F.col("n"), F.col("df")), 9).alias("weight"))
+
+
+@query
+def tf_table(spark, sf_dir):
+    return spark.range(1, 201).select(F.col("id").alias("tf"), F.round(tf_weight(F.col("id")), 9).alias("weight"))
+
+
+@query
+def dgaps(spark, sf_dir):
+    return gaps.dgaps(index.postings(_documents(spark, sf_dir)))
+
+
+@query
+def dgap_roundtrip(spark, sf_dir):
+    g = gaps.dgaps(index.postings(_documents(spark, sf_dir)))
+    return gaps.from_dgaps(g)
+
+
+@query
+def word_gaps(spark, sf_dir):
+    return gaps.word_gaps(index.tokens(_documents(spark, sf_dir))).select("term", "docid", F.col("position").cast("bigint").alias("position"), "wgap")
+
+
+@query
+def positional_doc_gaps(spark, sf_dir):
+    return gaps.positional_gaps(index.tokens(_documents(spark, sf_dir))).select("term", "docid", F.col("position").cast("bigint").alias("position"), "wgap", "dgap")
+
+
+@query
+def vbyte_size(spark, sf_dir):
+    return _numbers(spark).select("gap", codec.vbyte_size(F.col("gap")).cast("bigint").alias("bytes")).distinct()
+
+
+@query
+def double_vbyte_size(spark, sf_dir):
+    g = gaps.dgaps(index.postings(_documents(spark, sf_dir)))
+    return g.select("term", "docid", codec.double_vbyte_size(F.col("dgap"), F.col("tf")).cast("bigint").alias("bytes"))
+
+
+@query
+def double_vbyte_bytes(spark, sf_dir):
+    n = _numbers(spark).where("gap < 1000000000")
+    return n.select("gap", "tf", F.lower(F.hex(codec.double_vbyte(F.col("gap"), F.col("tf")))).alias("code"))
+
+
+@query
+def vbyte_bytes(spark, sf_dir):
+    return _numbers(spark).select("gap", F.lower(F.hex(codec.vbyte(F.col("gap")))).alias("code")).distinct()
+
+
+@query
+def raw_u32(spark, sf_dir):
+    n = _numbers(spark).select("gap").distinct()
+    return n.select("gap", F.lower(F.hex(codec.u32(F.col("gap")))).alias("code"), codec.u32_at(codec.u32(F.col("gap"))).alias("back"))
+
+
+@query
+def codec_roundtrip(spark, sf_dir):
+    """Lists of codes, cut into pieces of 1,024 postings so that no list is gathered whole, decoded again."""
+    g = gaps.dgaps(index.postings(_documents(spark, sf_dir)))
+    from pyspark.sql import Window
+
+    place = Window.partitionBy("term").orderBy("docid")
+    g = g.withColumn("piece", F.floor((F.row_number().over(place) - 1) / 1024).cast("bigint")).withColumn("code", codec.double_vbyte(F.col("dgap"), F.col("tf")))
+    lists = g.groupBy("term", "piece").agg(F.sort_array(F.collect_list(F.struct("docid", "code"))).alias("l"), F.min(F.col("docid") - F.col("dgap")).alias("base"))
+    lists = lists.select("term", "piece", "base", F.unhex(F.array_join(F.transform("l", lambda x: F.hex(x["code"])), "")).alias("data"))
+    back = lists.select("term", "piece", "base", F.posexplode(codec.decode_double_vbyte(F.col("data"))).alias("i", "p"))
+    upto = Window.partitionBy("term", "piece").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return back.select("term", (F.col("base") + F.sum("p.gap").over(upto)).alias("docid"), F.col("p.tf").alias("tf"))
+
+
+def _slabs(spark: SparkSession, growth: str) -> DataFrame:
+    return _values(spark, list(enumerate(slabs.slab_sizes(growth))), "i, blocks")
+
+
+@query
+def slab_sizes_triangle(spark, sf_dir):
+    return _slabs(spark, "triangle")
+
+
+@query
+def slab_sizes_expon(spark, sf_dir):
+    return _slabs(spark, "expon")
+
+
+@query
+def block_layout_fixed(spark, sf_dir):
+    return layout.block_layout(index.postings(_documents(spark, sf_dir)), "fixed")
+
+
+@query
+def block_layout_triangle(spark, sf_dir):
+    return layout.block_layout(index.postings(_documents(spark, sf_dir)), "triangle")
+
+
+@query
+def block_layout_expon(spark, sf_dir):
+    return layout.block_layout(index.postings(_documents(spark, sf_dir)), "expon")
+
+
+@query
+def size_report(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    p = index.postings(d)
+    r = layout.size_report(layout.block_layout(p, "triangle"), index.collection_stats(d, index.lexicon(p)))
+    return r.withColumn("bytes_per_word", F.round("bytes_per_word", 6)).withColumn("bytes_per_posting", F.round("bytes_per_posting", 6))
+
+
+@query
+def term_buckets(spark, sf_dir):
+    """Terms of each bucket of a hash of 64 buckets; the hash is this engine's own."""
+    from ..functions.text import bucket
+
+    return _index(spark, sf_dir).lexicon.groupBy(bucket(F.col("term"), 64).alias("bucket")).agg(F.count("*").alias("terms"))
+
+
+@query
+def interleaved_export(spark, sf_dir):
+    return export.interleaved(index.postings(_documents(spark, sf_dir)))
+
+
+@query
+def canonical_docs(spark, sf_dir):
+    return export.docs_lists(index.postings(_documents(spark, sf_dir)))
+
+
+@query
+def canonical_freqs(spark, sf_dir):
+    return export.freqs_lists(index.postings(_documents(spark, sf_dir)))
+
+
+@query
+def canonical_sizes(spark, sf_dir):
+    return export.sizes(index.doc_stats(_documents(spark, sf_dir)))
+
+
+@query
+def canonical_terms(spark, sf_dir):
+    return export.terms(_index(spark, sf_dir).lexicon)
+
+
+@query
+def canonical_documents(spark, sf_dir):
+    return export.docmap(_documents(spark, sf_dir))
+
+
+def _folder(spark: SparkSession) -> str:
+    from ..sources.scratch import folder
+
+    return folder(spark)
+
+
+@query
+def compaction_invariance(spark, sf_dir):
+    """Postings of a stored, then compacted index."""
+    from ..sources import store
+
+    path = _folder(spark)
+    store.save(_index(spark, sf_dir), f"{path}/loose")
+    store.compact(spark, f"{path}/loose", f"{path}/packed")
+    return store.load(spark, f"{path}/packed").postings
+
+
+@query
+def append_invariance(spark, sf_dir):
+    """Lexicon of an index that was stored in two parts."""
+    from ..sources import store
+
+    path, d = _folder(spark), _documents(spark, sf_dir)
+    half = (d.agg(F.max("docid")).first()[0] or 0) // 2
+    store.save(index.build(d.where(F.col("docid") <= half)), f"{path}/parts")
+    store.append(spark, f"{path}/parts", d.where(F.col("docid") > half))
+    return store.load(spark, f"{path}/parts").lexicon
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a stream of documents."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
+    return raw.select((F.col("doc_id") + 1).alias("docid"), F.col("doc_id").cast("string").alias("text_id"), docstream.tokenize(F.col("text")).alias("tokens"))
+
+
+@query
+def stream_postings(spark, sf_dir):
+    """Postings of the collection after a stream has ingested it."""
+    from ..streaming import ingest
+
+    path = _folder(spark)
+    ingest.start(_streamed(spark, sf_dir), f"{path}/store", f"{path}/checkpoint", numbered=True).awaitTermination()
+    return ingest.live_index(spark, f"{path}/store").postings
+
+
+@query
+def stream_df(spark, sf_dir):
+    """Document frequencies from the batches of a stream."""
+    from ..streaming import ingest
+
+    path = _folder(spark)
+    ingest.start(_streamed(spark, sf_dir), f"{path}/store", f"{path}/checkpoint", numbered=True).awaitTermination()
+    return ingest.live_index(spark, f"{path}/store").lexicon.select("term", "df")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best ten documents for each query of the workload."""
+    return ranked_topk(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(sql.ORACLES)

@@ -1,0 +1,34 @@
+"""Schemas of the tables that an index consists of."""
+
+from pyspark.sql import types as T
+
+DOCUMENT = T.StructType([
+    T.StructField("docid", T.LongType(), False),
+    T.StructField("text_id", T.StringType()),
+    T.StructField("tokens", T.ArrayType(T.StringType(), False)),
+])
+
+POSTING = T.StructType([
+    T.StructField("term", T.StringType(), False),
+    T.StructField("docid", T.LongType(), False),
+    T.StructField("tf", T.LongType(), False),
+])
+
+POSITIONAL = T.StructType([
+    T.StructField("term", T.StringType(), False),
+    T.StructField("docid", T.LongType(), False),
+    T.StructField("positions", T.ArrayType(T.IntegerType(), False), False),
+])
+
+LEXICON = T.StructType([
+    T.StructField("term", T.StringType(), False),
+    T.StructField("df", T.LongType(), False),
+    T.StructField("cf", T.LongType(), False),
+    T.StructField("last_docid", T.LongType(), False),
+])
+
+QUERY = T.StructType([
+    T.StructField("query_ord", T.LongType(), False),
+    T.StructField("qid", T.StringType()),
+    T.StructField("terms", T.ArrayType(T.StringType(), False), False),
+])
