@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, needs, stored, text_of
+from .common import WORD, free_name, needs, small_lookup, stored, text_of
 from .ordering import BUCKET_ROWS, SPAN, running, seeded
 
 SEED = "mix-1"
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     targets = source_targets(sizes.select("source", "source_size"), weights, total_share, most)
     targets = targets.withColumn("_group", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))).drop("source")
     targets = sizes.select("_group", "_rows").join(targets, "_group")
-    d = d.join(targets, "_group")
+    d = small_lookup(d, targets, "_group", "key", "targets")
     share = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(BUCKET_ROWS)))
     # 1 - exp(-key) grows with the key and is spread evenly enough over (0, 1)
     d = d.withColumn("_bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * share), share - 1).cast("bigint"))
@@ -88,6 +88,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, with all their columns."""
-    taken = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mixed"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    key, copies, copy = (free_name(docs, n) for n in ("_mixed", "_copies", "_copy"))
+    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies))
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken[key]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*[f"`{c}`" for c in docs.columns])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import needs, stored, text_of
+from .common import needs, small_lookup, stored, text_of
 from .ordering import BUCKET_ROWS, SPAN, running, seeded
 
 SEED = "shard-1"
@@ -34,13 +34,14 @@ def shard(docs: DataFrame, shards: int = 8, seed: str = SEED) -> DataFrame:
     )
     d = stored(d, "shard_rows")  # ids, sizes and checksums: the texts are read once
     strata = d.groupBy("_stratum").agg(F.count("*").alias("source_rows"))
-    d = d.join(strata, "_stratum")
+    d = small_lookup(d, strata, "_stratum", "_key", "strata")
     total = d.sparkSession.range(1).crossJoin(strata.agg(F.coalesce(F.sum("source_rows"), F.lit(0)).alias("total"))).select("total")
     # the shuffled order within a source, over buckets of a few thousand rows
     share = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS)))
     d = d.withColumn("_bucket", F.least(F.floor(F.col("_key") / F.lit(float(SPAN)) * share), share - 1).cast("bigint")).withColumn("_one", F.lit(1).cast("bigint"))
     ties = ["doc_id", "size", "text_crc32"]
     d = running(d, ["_stratum"], "_bucket", ["_key", *ties], "_one", "rank").drop("_bucket")
+    d = stored(d, "shard_ranks")
     d = d.withColumn("fraction", (F.col("rank") * 2 + 1) / (F.col("source_rows") * 2))
     # the same on the scale of all sources
     d = d.join(F.broadcast(total))  # one row
