@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep_by_id, needs, salted_lookup, stored, text_of
+from .common import SPACE, free_name, keep_by_id, needs, salted_lookup, stored, text_of
 
 #: Cut after punctuation, 256 to 2048 code points; the last chunk may be shorter.
 CHUNK = r"(?s).{255,2047}?[.,;:!?。、！？]|.{1,2048}"
@@ -71,6 +71,17 @@ def exact_duplicates(docs: DataFrame, identifiers: Sequence[Callable[[Column], C
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. A doc_id is the key of a document."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
-    return keep_by_id(docs, kept)
+    """The documents that stay, with all their columns.
+
+    Where every doc_id is there once, the id tells which rows stay. Rows that share an id are told apart by their text.
+    """
+    marked = stored(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "marked")
+    kept = marked.where("kept")
+    if marked.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return keep_by_id(docs, kept)
+    sha, place = free_name(docs, "_sha"), free_name(docs, "_place")
+    named = docs.withColumn(sha, F.sha2(normalised(), 256))
+    chosen = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    found = named.join(chosen, named["doc_id"].eqNullSafe(chosen["_kept_id"]) & (named[sha] == chosen["_kept_sha"]), "left_semi")
+    longest = Window.partitionBy("doc_id", sha).orderBy(F.length(text_of()).desc())
+    return found.withColumn(place, F.row_number().over(longest)).where(F.col(place) == 1).drop(sha, place)

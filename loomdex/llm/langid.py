@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 PER_LANG, MOST_LANGS, SAMPLE_CHARS = 150, 32, 4000
 TABLE_BITS = 15
 CHUNK = 64
@@ -320,5 +322,6 @@ def word_runs(model: Model, text: str) -> list[tuple[str, int]]:
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, **sample) -> DataFrame:
     """Documents whose language is known with a mean posterior of ``least`` at least, with all their columns."""
-    found = identify(docs, train(docs, **sample), "_lang_pred", "_lang_score")
-    return found.where((F.col("_lang_pred") != UND) & (F.col("_lang_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
+    found = identify(docs, train(docs, **sample), lang, score)
+    return found.where((F.col(lang) != UND) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

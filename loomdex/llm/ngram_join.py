@@ -336,5 +336,5 @@ def near_components(docs: DataFrame, percent: int = PERCENT, **options) -> DataF
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the least id of each component, with all its columns."""
+    """The document with the least id of each component, with all its columns. Rows that share a doc_id are one document."""
     return keep_by_id(docs, near_components(docs, **options).where("doc_id <=> component_id").select("doc_id").distinct())
