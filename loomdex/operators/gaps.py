@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LIST = Window.partitionBy("term").orderBy("docid")
+def _list():
+    return Window.partitionBy("term").orderBy("docid")
 
 
 def dgaps(postings: DataFrame) -> DataFrame:
     """(term, docid, tf, dgap): distance to the term's document before; the first has its docid."""
-    return postings.withColumn("dgap", F.col("docid") - F.coalesce(F.lag("docid").over(_LIST), F.lit(0)))
+    return postings.withColumn("dgap", F.col("docid") - F.coalesce(F.lag("docid").over(_list()), F.lit(0)))
 
 
 def from_dgaps(gaps: DataFrame, order: str = "docid") -> DataFrame:
