@@ -25,7 +25,7 @@ TARGETS = (("the", 1), ("the", 100), ("the", 1_000_000_000), ("of", 500), ("in",
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docstream.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docstream.from_table(docstream.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:

@@ -23,6 +23,16 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return numbered.select((F.col("_before") + F.col("_seq") - F.col("_first") + 1).alias("line"), "value")
 
 
+def spread(df: DataFrame, most: int = 8) -> DataFrame:
+    """Deal a scan of very few splits over the cores; a scan of ``most`` splits or more stays as it is.
+
+    A small file may be one row group, which one task would read and process alone. Only such a file moves.
+    """
+    splits = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < min(most, cores) else df
+
+
 def read_docstream(spark: SparkSession, path: str | list[str], max_token_bytes: int | None = None) -> DataFrame:
     """(docid, text_id, tokens): one document for each line, blank lines included; the id is not indexed."""
     tokens = tokenize(F.col("value"), max_token_bytes)

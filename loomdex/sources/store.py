@@ -27,8 +27,15 @@ def save_packed(index: Index, path: str, partitions: int | None = None, mode: st
     Lookups of a term then read the row groups whose statistics hold it. A frequent term may span several files, as
     the ranges are cut by (term, docid). The index itself is left as it is.
     """
+    spark = index.documents.sparkSession
     cut = lambda d, *keys: (d.repartitionByRange(partitions, *keys) if partitions else d.repartitionByRange(*keys)).sortWithinPartitions(*keys)
-    save(Index(cut(index.documents, "docid"), cut(index.postings, "term", "docid"), cut(index.lexicon, "term")), path, mode)
+    # a sort by range reads its input twice: the lists are written as they come first, so that texts are read once
+    index.postings.write.mode(mode).parquet(f"{path}/_loose")
+    loose = spark.read.schema(index.postings.schema).parquet(f"{path}/_loose")
+    counted = loose.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("docid").alias("last_docid"))
+    save(Index(index.documents, cut(loose, "term", "docid"), counted), path, mode)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_loose")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def load(spark: SparkSession, path: str) -> Index:
