@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.docstream import spread
+
 #: ASCII white space, the only separators of words in every operator here.
 SPACE = r"[ \t\n\x0B\f\r]"
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one parquet table through Spark, whatever store the path names."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read one parquet table through Spark, whatever store the path names; a file of one or two splits is dealt out."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_of(column: str = "text") -> Column:
