@@ -79,11 +79,13 @@ def _by_descending_id(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] + [1.0], 20 * parts), F.max("doc_id")).first()
+    shares = ", ".join(f"{k / parts!r}D" for k in range(1, parts + 1))
+    ids = docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {20 * parts})"), F.max("doc_id")).first()
     cuts = sorted({*(ids[0] or []), *([ids[1]] if ids[1] is not None else [])})  # as many as partitions at most
     n, step = max(1, len(cuts)), max(1, int(len(cuts) ** 0.5))
     if cuts:
-        every, coarse = F.array(*[F.lit(c) for c in cuts]), F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])
+        numbers = lambda c: F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>")  # noqa: E731  one literal, however many
+        every, coarse = numbers(cuts), numbers(cuts[step - 1 :: step])
         docs = docs.withColumn("_c", F.size(F.filter(coarse, lambda c: c < F.col("doc_id"))) * step)
         docs = docs.withColumn("_bucket", F.greatest(F.lit(0), F.col("_c") + F.size(F.filter(F.slice(every, F.col("_c") + 1, F.lit(step)), lambda c: c < F.col("doc_id")))))
         docs = docs.withColumn("_bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_bucket")))

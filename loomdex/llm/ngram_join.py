@@ -286,7 +286,7 @@ def links(sets: DataFrame, percent: int = PERCENT, block_members: int = BLOCK_ME
         found = stored(new if found is None else found.union(new), f"links{r}")
     groups = components(found).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("_members"))
-    groups = groups.join(sizes, "grp")
+    groups = salted_lookup(groups, sizes, "grp", "cls")
     member = sets.join(groups, "cls", "left").select("cls", "n", "toks", F.coalesce("grp", "cls").alias("grp"), F.coalesce("_members", F.lit(1)).alias("_members"))
     blocks = F.pmod(F.xxhash64("cls"), F.ceil(F.col("_members") / F.lit(block_members)))
     names = stored(member.select("cls", "n", "grp", blocks.cast("int").alias("block")), "groups")
