@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import FOLD
 from ..functions.slabs import BLOCK, LAST_GROWTH, LINK, head_bytes, slab_sizes
 
-_OUT = "term string, df bigint, slabs bigint, blocks bigint, payload bigint"
+_CHAIN = "term string, slab bigint, blocks bigint, first_docid bigint, bgap bigint, postings bigint, payload bigint"
 
 
 def _size(x: int) -> int:
@@ -26,42 +26,53 @@ def posting_bytes(gap: int, tf: int, fold: int = FOLD) -> int:
     return _size((gap - 1) * fold + tf) if tf < fold else _size(gap * fold) + _size(tf - fold + 1)
 
 
-def block_layout(postings: DataFrame, growth: str = "triangle") -> DataFrame:
-    """(term, df, slabs, blocks, payload): slabs in the chain, blocks they take, bytes of codes in them."""
+def slab_chain(postings: DataFrame, growth: str = "triangle") -> DataFrame:
+    """(term, slab from 1, blocks, first_docid, bgap, postings, payload), a row for each slab of each list.
+
+    bgap is what the first posting of a later slab stores: the distance to the first document of the slab before, or
+    the document itself in the second slab. A head slab that its term fills has no postings and a null first_docid.
+    """
     sizes, head = slab_sizes(growth), head_bytes(growth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, state = None, None
+        term, slab, room, last, link = None, [], 0, 0, 0
         for batch in batches:
-            done: list[tuple] = []
+            done: list[list] = []
             for t, size, doc, tf in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != term:
-                    if term is not None:
-                        done.append((term, *state[:4]))
-                    # df, slabs, blocks, payload, offset, growth, last document, first document of the slab
-                    term, state = t, [0, 1, sizes[0], 0, head + size, 0, 0, None]
-                need = posting_bytes(doc - state[6], tf)
-                if state[4] + need > BLOCK * sizes[state[5]]:
-                    state[5] = min(state[5] + 1, LAST_GROWTH)
-                    need = posting_bytes(doc if state[7] is None else doc - state[7], tf)  # the gap between slabs
-                    state[1] += 1
-                    state[2] += sizes[state[5]]
-                    state[4], state[7] = LINK, doc
-                state[0] += 1
-                state[3] += need
-                state[4] += need
-                state[6] = doc
+                    if slab:
+                        done.append(slab)
+                    # the slab in work, bytes left in it, the document before, first document of a continued slab
+                    term, slab, room, last, link = t, [t, 1, sizes[0], None, None, 0, 0], BLOCK * sizes[0] - head - size, 0, 0
+                need = posting_bytes(doc - last, tf)
+                if need > room:
+                    done.append(slab)
+                    blocks = sizes[min(slab[1], LAST_GROWTH)]
+                    slab = [t, slab[1] + 1, blocks, None, doc - link, 0, 0]
+                    need, room, link = posting_bytes(doc - link, tf), BLOCK * blocks - LINK, doc
+                if slab[3] is None:
+                    slab[3] = doc
+                slab[5] += 1
+                slab[6] += need
+                room -= need
+                last = doc
             if done:
                 yield _batch(done)
-        if term is not None:
-            yield _batch([(term, *state[:4])])
+        if slab:
+            yield _batch([slab])
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["term", "df", "slabs", "blocks", "payload"])
+    def _batch(rows: list[list]) -> pa.RecordBatch:
+        kinds = [pa.string(), *[pa.int64()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in _CHAIN.split(", ")])
 
     rows = postings.select("term", F.octet_length("term").alias("size"), "docid", "tf")
-    return rows.repartition("term").sortWithinPartitions("term", "docid").mapInArrow(run, _OUT)
+    return rows.repartition("term").sortWithinPartitions("term", "docid").mapInArrow(run, _CHAIN)
+
+
+def block_layout(postings: DataFrame, growth: str = "triangle") -> DataFrame:
+    """(term, df, slabs, blocks, payload): slabs in the chain, blocks they take, bytes of codes in them."""
+    chain = slab_chain(postings, growth).groupBy("term")
+    return chain.agg(F.sum("postings").alias("df"), F.count("*").alias("slabs"), F.sum("blocks").alias("blocks"), F.sum("payload").alias("payload"))
 
 
 def size_report(layout: DataFrame, stats: DataFrame) -> DataFrame:
@@ -73,11 +84,3 @@ def size_report(layout: DataFrame, stats: DataFrame) -> DataFrame:
     r = stats.crossJoin(blocks)  # one row each
     r = r.withColumn("total_bytes", F.col("vocabulary") * 8 + F.col("blocks") * BLOCK)
     return r.select("n_docs", "n_words", "n_postings", "vocabulary", "blocks", "total_bytes", (F.col("total_bytes") / F.col("n_words")).alias("bytes_per_word"), (F.col("total_bytes") / F.col("n_postings")).alias("bytes_per_posting"))
-
-
-def b_gaps(postings: DataFrame, starts: DataFrame) -> DataFrame:
-    """(term, slab, first_docid, bgap) from the first documents of slabs (term, slab from 1, first_docid)."""
-    from pyspark.sql import Window
-
-    chain = Window.partitionBy("term").orderBy("slab")
-    return starts.withColumn("bgap", F.col("first_docid") - F.coalesce(F.lag("first_docid").over(chain), F.lit(0)))

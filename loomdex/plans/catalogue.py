@@ -119,7 +119,8 @@ def term_scan(spark, sf_dir):
 
 @query
 def next_geq(spark, sf_dir):
-    return lookup.next_geq(index.postings(_documents(spark, sf_dir)), _values(spark, TARGETS, "term, target"))
+    found = lookup.next_geq(index.postings(_documents(spark, sf_dir)), _values(spark, TARGETS, "term, target"))
+    return found.select("term", "target", F.coalesce("docid", F.lit(-1)).alias("docid"), F.coalesce("tf", F.lit(0)).alias("tf"))
 
 
 @query
@@ -326,6 +327,13 @@ def block_layout_expon(spark, sf_dir):
     return layout.block_layout(index.postings(_documents(spark, sf_dir)), "expon")
 
 
+@query
+def slab_chain(spark, sf_dir):
+    """First documents of slabs and the gaps between slabs."""
+    chain = layout.slab_chain(index.postings(_documents(spark, sf_dir)), "triangle")
+    return chain.where("postings > 0").select("term", "slab", "first_docid", F.coalesce("bgap", F.lit(0)).alias("bgap"), "postings")
+
+
 @query
 def size_report(spark, sf_dir):
     d = _documents(spark, sf_dir)

@@ -126,7 +126,7 @@ ORACLES: dict[str, str] = {
     "conversation_lexicon": f"WITH {_tokens('conversations', 'conv_id * 100000 + turn')}, po AS (SELECT term, docid, count(*) AS tf FROM tok GROUP BY term, docid) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(docid) AS last_docid FROM po GROUP BY term",
     "doc_term_frequency": f"WITH {PO} SELECT d.docid, t.term, coalesce(po.tf, 0) AS tf FROM (SELECT doc_id + 1 AS docid FROM documents) d CROSS JOIN (VALUES ('the'), ('of'), ('in'), ('que'), ('zzzzmissing')) t(term) LEFT JOIN po ON po.docid = d.docid AND po.term = t.term",
     "term_scan": f"WITH {PO} SELECT * FROM po WHERE term = 'the'",
-    "next_geq": f"WITH {PO} SELECT t.term, t.target::BIGINT AS target, min(po.docid) AS docid, arg_min(po.tf, po.docid) AS tf FROM {_TARGETS} LEFT JOIN po ON po.term = t.term AND po.docid >= t.target GROUP BY 1, 2",
+    "next_geq": f"WITH {PO} SELECT t.term, t.target::BIGINT AS target, coalesce(min(po.docid), -1) AS docid, coalesce(arg_min(po.tf, po.docid), 0) AS tf FROM {_TARGETS} LEFT JOIN po ON po.term = t.term AND po.docid >= t.target GROUP BY 1, 2",
     "query_terms": f"WITH {_queries()} SELECT * FROM qt",
     "query_stats": f"WITH {_queries()} SELECT {len(WORKLOAD)}::BIGINT AS n_queries, count(*)::DOUBLE / {len(WORKLOAD)} AS mean_terms FROM qt",
     "resolved_terms": f"{_hits()} SELECT query_ord, qid, term, df FROM kn",
@@ -171,6 +171,9 @@ FROM tok WINDOW w AS (PARTITION BY term ORDER BY docid, position)""",
     "block_layout_fixed": f"{_layout('fixed')} SELECT * FROM lay",
     "block_layout_triangle": f"{_layout('triangle')} SELECT * FROM lay",
     "block_layout_expon": f"{_layout('expon')} SELECT * FROM lay",
+    "slab_chain": f"""{_layout('triangle')},
+c AS (SELECT term, slabs AS slab, min(docid) AS first_docid, count(*) AS postings FROM f WHERE rn > 0 GROUP BY term, slabs)
+SELECT term, slab, first_docid, postings, CASE WHEN slab = 2 THEN first_docid WHEN slab > 2 THEN first_docid - lag(first_docid) OVER (PARTITION BY term ORDER BY slab) ELSE 0 END AS bgap FROM c""",
     "size_report": f"""{_layout('triangle')},
 s AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM tok) AS n_words, sum(df)::BIGINT AS n_postings, count(*) AS vocabulary, sum(blocks)::BIGINT AS blocks FROM lay)
 SELECT *, vocabulary * 8 + blocks * 64 AS total_bytes, round((vocabulary * 8 + blocks * 64)::DOUBLE / n_words, 6) AS bytes_per_word, round((vocabulary * 8 + blocks * 64)::DOUBLE / n_postings, 6) AS bytes_per_posting FROM s""",
