@@ -7,7 +7,8 @@ above zero keep that score, all others have a small negative one, so the score o
 that says nothing. The scan of Ruzzo and Tompa finds all maximal segments of a whole text in linear time. A segment of
 score S in a text of n words has the expected number K * n * exp(-lambda * S) by chance (Karlin and Altschul); lambda
 solves the equation of the clean words' scores and K is counted on clean texts. Segments expected less than once are
-significant; their excess, lambda * S - ln(K * n), is summed and a logistic curve turns it into a probability.
+significant; their excess, lambda * S - ln(K * n), is summed and a logistic curve turns it into a probability; the curve is fitted to documents
+whose words were learned from the other half of the sample.
 
 Defined results: a null or empty text has no segment and the score of such texts; repeated rows get equal results; very
 long texts are whole; a document with several labels counts as toxic if any says so; without toxic and clean labels
@@ -29,8 +30,8 @@ from .minhash import signatures
 from .textarrays import words
 
 PER_CLASS, SAMPLE_CHARS = 1500, 20_000
-#: Score of a word that says nothing, weight of the prior in words, least documents and most words of the model.
-DRIFT, PRIOR, LEAST_DOCS, MOST_WORDS = 0.15, 500.0, 3, 4096
+#: Score of a word that says nothing, weight of the prior in words, words let in by chance, most words of the model.
+DRIFT, PRIOR, BY_CHANCE, MOST_WORDS = 0.15, 500.0, 0.5, 4096
 PREDICT_AT = 0.7
 
 
@@ -97,35 +98,20 @@ def _evidence(found: list[tuple[int, int, float, float]]) -> float:
     return float(np.log1p(sum(e for *_, e in found)))
 
 
-def fit(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Model | None:
-    """Train on (text, toxic) rows; weights: how many rows a clean and a toxic one stand for."""
-    rows = [(t, y) for t, y in rows if t]
-    if len({y for _, y in rows}) < 2:
-        return None
-    sig = signatures(pa.array([t for t, _ in rows], pa.large_string()))
-    fresh: list[int] = []
-    for i in range(len(rows)):  # near copies of an earlier row would count a text's words again
-        if not fresh or (sig[fresh] == sig[i]).mean(axis=1).max() < 0.5:
-            fresh.append(i)
-    texts, y = pa.array([rows[i][0] for i in fresh], pa.large_string()), np.array([rows[i][1] for i in fresh])
-    seen: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(fresh)
-    size = np.zeros(len(fresh), np.int64)
-    for lo, _, counts, hashes in words(texts, letters=True):
-        ends = np.cumsum(counts)
-        for i, (c, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
-            seen[lo + i], size[lo + i] = np.unique(hashes[e - c : e]), c
+def _learn(seen: list[np.ndarray], y: np.ndarray) -> Model:
+    """Words, scores and lambda from the sets of words of labelled documents."""
     vocabulary, toxic = np.unique(np.concatenate([s for s, v in zip(seen, y, strict=True) if v]), return_counts=True)
     everything, total = np.unique(np.concatenate(seen), return_counts=True)
     in_all = total[np.searchsorted(everything, vocabulary)]
     clean = in_all - toxic
+    share = y.mean()
+    gain = toxic * np.log(toxic / (in_all * share)) + clean * np.log(np.maximum(clean, 1e-9) / (in_all * (1 - share)))
+    sure = (2 * gain > 2 * np.log(2 * max(1, len(vocabulary)) / BY_CHANCE)) & (toxic > in_all * share)
     n_toxic, n_clean = sum(len(s) for s, v in zip(seen, y, strict=True) if v), sum(len(s) for s, v in zip(seen, y, strict=True) if not v)
-    if not n_toxic or not n_clean:
-        return None
     prior = PRIOR * in_all / (n_toxic + n_clean)
     odds = lambda c, n: np.log((c + prior) / (n + PRIOR - c - prior))
-    delta = odds(toxic, n_toxic) - odds(clean, n_clean)
-    score = delta - 1.645 * np.sqrt(1 / (toxic + prior) + 1 / np.maximum(clean + prior, 0.5))
-    keep = np.flatnonzero((score > 4 * DRIFT) & (toxic >= LEAST_DOCS))
+    score = odds(toxic, n_toxic) - odds(clean, n_clean) - 1.645 * np.sqrt(1 / (toxic + prior) + 1 / np.maximum(clean + prior, 0.5))
+    keep = np.flatnonzero(sure & (score > 4 * DRIFT))
     keep = np.sort(keep[np.argsort(-score[keep], kind="stable")[:MOST_WORDS]])
     model = Model(vocabulary[keep], score[keep], 1.0, 1.0, 1.0, 0.0)
     # lambda: mean of exp(lambda * score) over the words of clean texts is 1
@@ -135,16 +121,50 @@ def fit(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0))
         mid = (low + high) / 2
         low, high = (mid, high) if (1 - p.sum()) * np.exp(-mid * DRIFT) + (p * np.exp(np.minimum(mid * score[keep], 500))).sum() < 1 else (low, mid)
     model.rate = low
-    # K: chance segments of clean texts, at the least score of a word
-    base = float(score[keep].min()) if len(keep) else 1.0
-    found = 0
+    return model
+
+
+def _count_chance(model: Model, texts: pa.Array, y: np.ndarray) -> None:
+    """K from the segments of clean texts that reach the least score of a word."""
+    base, found, n = float(model.scores.min()) if len(model.scores) else 1.0, 0, 0
     for lo, _, counts, hashes in words(texts, letters=True):
+        n += int(counts[y[lo : lo + len(counts)] == 0].sum())
         for row, at, s in _hits(model, counts, hashes):
             if not y[lo + row]:
                 found += sum(v >= base for *_, v in segments(at, s))
-    n = size[y == 0].sum()
-    model.k = float(np.clip((found + 0.5) / (n * np.exp(-model.rate * base)), 1e-3, 1.0))
-    x = np.array([_evidence(f) for f in passages(model, texts)])
+    model.k = float(np.clip((found + 0.5) / (max(1, n) * np.exp(-model.rate * base)), 1e-3, 1.0))
+
+
+def fit(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Model | None:
+    """Train on (text, toxic) rows; weights: how many rows a clean and a toxic one stand for."""
+    rows = [(t, y) for t, y in rows if t]
+    if len({y for _, y in rows}) < 2:
+        return None
+    sig = signatures(pa.array([t for t, _ in rows], pa.large_string()))
+    fresh: list[int] = []
+    for i in range(len(rows)):  # near copies of an earlier row would count a text's words again
+        if not fresh or (sig[fresh] == sig[i]).mean(axis=1).max() < 0.5:
+            fresh.append(i)
+    texts, y = pa.array([rows[i][0] for i in fresh], pa.large_string()), np.array([rows[i][1] for i in fresh])
+    seen: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(fresh)
+    for lo, _, counts, hashes in words(texts, letters=True):
+        ends = np.cumsum(counts)
+        for i, (c, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
+            seen[lo + i] = np.unique(hashes[e - c : e])
+    if not all(any(len(s) for s, v in zip(seen, y, strict=True) if v == k) for k in (0, 1)):
+        return None
+    model = _learn(seen, y)
+    _count_chance(model, texts, y)
+    # evidence of each half by the words of the other
+    half = np.zeros(len(y), bool)
+    for k in (0, 1):
+        half[np.flatnonzero(y == k)[::2]] = True
+    x = np.zeros(len(y))
+    for own in (half, ~half):
+        other = ~own if (~own).any() and len(set(y[~own].tolist())) == 2 else own
+        part = _learn([s for s, o in zip(seen, other, strict=True) if o], y[other])
+        _count_chance(part, texts.filter(pa.array(other)), y[other])
+        x[own] = [_evidence(f) for f in passages(part, texts.filter(pa.array(own)))]
     w = np.where(y == 1, weights[1], weights[0])
     w = w / w.sum() * len(w)
     beta = np.zeros(2)
