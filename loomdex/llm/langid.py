@@ -33,8 +33,8 @@ from .common import free_name
 PER_LANG, MOST_LANGS, SAMPLE_CHARS = 150, 32, 4000
 TABLE_BITS = 15
 CHUNK = 64
-#: Below this mean posterior the pipeline rejects a document.
-LEAST_SCORE = 0.5
+#: Below this mean posterior no language leads and the pipeline rejects a document; code-switched text stays.
+LEAST_SCORE = 0.3
 _LETTER = regex.compile(r"\p{L}")
 _WORD = np.zeros(256, bool)
 _WORD[97:123] = True
