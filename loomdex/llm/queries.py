@@ -120,6 +120,33 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8),
+b AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents),
+c AS (
+  SELECT doc_id, source, size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, l[(xor(s, x) & 255) + 1])), 4294967295) AS text_crc32,
+         ('0x' || substr(md5('shard-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+  FROM b, tab),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size, text_crc32) - 1 AS rank,
+         count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total
+  FROM c),
+g AS (
+  SELECT *, row_number() OVER (ORDER BY (rank * 2 + 1)::DOUBLE / (n * 2)::DOUBLE, source IS NULL, source, key, doc_id, size, text_crc32) - 1 AS place
+  FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 8 // total)::INTEGER AS shard,
+       (place - (place * 8 // total * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM g
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
@@ -158,4 +185,4 @@ FROM o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL}
