@@ -34,7 +34,7 @@ PER_LANG, MOST_LANGS, SAMPLE_CHARS = 150, 32, 4000
 TABLE_BITS = 15
 CHUNK = 64
 #: Below this mean posterior no language leads and the pipeline rejects a document; code-switched text stays.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.2
 _LETTER = regex.compile(r"\p{L}")
 _WORD = np.zeros(256, bool)
 _WORD[97:123] = True
@@ -178,8 +178,12 @@ def _first_product(prod, rows, begin, move, e, begins, sizes) -> np.ndarray:
     return a
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 3, seed: int = 1, span: int = 10, spans: int = 4, rate: float = 0.5, decay: float = 1e-4) -> Model | None:
-    """Train on (text, lang) rows by stochastic gradient ascent of the conditional likelihood."""
+def fit(rows: list[tuple[str, str]], epochs: int = 8, seed: int = 1, span: int = 10, spans: int = 4, rate: float = 0.2, decay: float = 1e-3) -> Model | None:
+    """Train on (text, lang) rows by stochastic gradient ascent of the conditional likelihood.
+
+    Every weight has its own falling rate (Adagrad), and the model is the mean over the steps after the first epoch, so
+    that no single batch decides it.
+    """
     rows = [(t, lang) for t, lang in rows if t and lang is not None and _LETTER.search(t)]
     langs = sorted({lang for _, lang in rows})
     if not langs:
@@ -197,7 +201,10 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, seed: int = 1, span: int =
     if len(begin) < spans:
         begin = np.resize(np.arange(0, max(1, len(label) - span), max(1, span // 2)), spans)
     squares = np.full_like(model.tables, 1e-2)
-    for _ in range(epochs):
+    small = [model.bias, model.transitions, model.start]
+    small_squares = [np.full_like(w, 1e-2, dtype=np.float64) for w in small]
+    mean, steps = [np.zeros_like(w, dtype=np.float64) for w in (model.tables, *small)], 0
+    for epoch in range(epochs):
         at = np.arange(len(begin) - len(begin) % spans)
         other = rng.random(len(at)) < 1 / 6
         at[other] = rng.integers(0, len(begin), int(other.sum()))
@@ -220,13 +227,22 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, seed: int = 1, span: int =
                 squares[table] += step * step
                 model.tables[table] += rate * step / np.sqrt(squares[table])
             n = len(flat)
-            model.bias += 0.5 * g.sum(axis=0) / n
             y = label[idx]
             seen = np.zeros((k, k))
             np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-            model.transitions += 5.0 * ((seen - pairs) / n - 1e-4 * model.transitions)
             began = np.bincount(y[:, 0], minlength=k) - post[:, 0].sum(axis=0)
-            model.start += 0.5 * began / len(y)
+            for w, grad, square in zip(small, (g.sum(axis=0) / n, (seen - pairs) / n, began / len(y)), small_squares, strict=True):
+                grad = grad - decay * w
+                square += grad * grad
+                w += 0.1 * grad / np.sqrt(square)
+            if epoch or epochs == 1:
+                steps += 1
+                for total, w in zip(mean, (model.tables, *small), strict=True):
+                    total += w
+    if steps:
+        model.tables = (mean[0] / steps).astype(np.float32)
+        model.bias, model.transitions, model.start = (m / steps for m in mean[1:])
+        model.bias = model.bias.astype(np.float32)
     return model
 
 
