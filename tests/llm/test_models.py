@@ -75,6 +75,24 @@ def test_language_edges(docs, no_docs, model):
     assert langid.keep_identified(no_docs).count() == 0
 
 
+def test_pipeline_drops_junk_and_keeps_code_switched_text(spark, texts):
+    rng = np.random.default_rng(6)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    junk = ["spam " * 300, "x", "aaaaaaaa " * 40, " ".join(letters("abcdefghijklmnopqrstuvwxyz", 7) for _ in range(100)), " ".join(letters("0123456789abcdef", 32) for _ in range(30))]
+    junk += ["все люди рождаются свободными и равными в своем достоинстве и правах", "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"]
+    one = {r["lang"]: r["text"].split() for r in texts.where(F.length("text") > 1500).where(langid.held_out()).collect()}
+    good = [" ".join(w[:30]) for w in one.values()] + [" ".join(" ".join(w[:30]) for w in one.values()), " ".join(" ".join(w[k : k + 6]) for k in range(0, 60, 6) for w in one.values())]
+    made = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk + good)], "doc_id bigint, text string, lang string")
+    for known in (texts, texts.where("lang in ('de', 'en')"), texts.where("lang = 'en'")):
+        kept = {r["doc_id"] for r in langid.keep_identified(known.select("doc_id", "text", "lang").union(made)).where("doc_id < 0").select("doc_id").collect()}
+        n = known.select("lang").distinct().count()
+        assert n == 1 or not kept & {-1 - i for i in range(len(junk))}
+        # hexadecimal digits are single letters, which trigrams alone do not tell from words
+        assert n > 1 or kept & {-1 - i for i in range(len(junk))} <= {-5}
+        assert n < 4 or {-1 - i for i in range(len(junk), len(junk + good))} <= kept
+    assert langid.keep_identified(texts).count() > 0.99 * texts.count()
+
+
 def brute_segments(s):
     """Ruzzo and Tompa's definition: take the best segment, then the same left and right of it; ties to the shorter."""
     best = max(((sum(s[a:b]), -(b - a), -a) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0, 0, 0))
