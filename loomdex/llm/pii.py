@@ -42,9 +42,9 @@ WIDE = {
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_ -]{1,2}[0-9]{4}){3}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){2,4}(?![0-9A-Za-z-])",
 }
-#: A cheap test that a text must pass to hold a match at all.
+#: A cheap test that a text must pass to hold a match at all; every match of the pattern must pass it.
 _HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-_WIDE_HINT = {"email": r"[(\[]at[)\]]| at [A-Za-z0-9-]{2,63}+(?: dot |[.(\[])", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}[./_ -]", "phone": r"[0-9][ .)-]"}
+_WIDE_HINT = {"email": r"[(\[]at[)\]]| at [A-Za-z0-9-]{2,63}+(?: dot | ?[(\[]dot|\.)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}[./_ -]", "phone": r"[0-9][ .)-]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _CUE = r"(?i)(?:tel|phone|call|fax|mobile|cell|mail|contact|write|reach|card|visa|credit|ip|addr|host|server)[^0-9]{0,12}$"
 _AGAINST = r"(?i)(?:order|invoice|version|isbn|id|no|nr|ref|code|serial|part|date|page|total|price|[#$])[^0-9]{0,6}$"

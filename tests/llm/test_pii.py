@@ -55,6 +55,32 @@ def test_added_spans(spark, model):
         assert bool(got[i]) == bool(n), (text, got[i])
 
 
+PARTS = {
+    "email": ["ann", " at ", "(at)", " [at] ", "mail", " dot ", "(dot)", " (dot) ", "[dot]", " [dot] ", ".", " (", "com", "-", "x", " "],
+    "ip": ["a:", "12ff:", "0:", "2001:", "b:", "1.", "10.", "7", "g", " ", "2001:db8:0:1:2:3:4:5 "],
+    "card": ["4111", ".", "/", "_", " ", "-", "- ", "41", "x", "4111.1111/"],
+    "phone": ["555", "12", "(", ")", " ", ".", "-", "12345", "(555) 123", "x"],
+}
+
+
+def test_every_match_passes_the_pre_test(spark):
+    rng = random.Random(8)
+    texts = {k: ["".join(rng.choice(parts) for _ in range(rng.randint(4, 18))) for _ in range(6000)] for k, parts in PARTS.items()}
+    texts["email"] += ["write to ann at mail (dot) com today", "mail ann at mail [dot] com"]
+    for kind, said in texts.items():
+        d = spark.createDataFrame([(t,) for t in said], "text string")
+        for pattern, hint in ((pii.WIDE, pii._WIDE_HINT), (pii.BASE, pii._HINT)):
+            hit = d.where(d.text.rlike(pattern[kind]))
+            assert pattern is pii.BASE or hit.count() > 20, kind
+            assert [r["text"] for r in hit.where(~d.text.rlike(hint[kind])).collect()] == []
+
+
+def test_spaced_dots_are_found(spark, model):
+    said = ["write to ann at mail (dot) com today", "mail ann at mail [dot] com"]
+    d = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")
+    assert all(r["a"] for r in pii.find(d, model).select(pii.listed("all").alias("a")).collect())
+
+
 def test_held_out_examples(spark, model):
     rows = pii.examples(1200, seed=99)
     d = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id bigint, text string")
