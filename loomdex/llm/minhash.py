@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import needs, stored, text_of
+from .common import needs, salted_lookup, stored, text_of
 from .ngram_join import _sets
 from .textarrays import mix, shingles, stream, words
 
@@ -141,27 +141,42 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     return _by_descending_id(d).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.75, bands: int = BANDS) -> DataFrame:
-    """Verified pairs (a, b, jaccard): each text and the least doc_id with which it shares a band of its fingerprint.
+def near_pairs(docs: DataFrame, threshold: float = 0.75, bands: int = BANDS, block: int = 512) -> DataFrame:
+    """Verified pairs (a, b, jaccard), a < b: of texts with different sets, and of copies.
 
-    Equal fingerprints are one class, named by its least id; classes that share a band meet its least member only, so a
-    band of many makes as many pairs as it has members. A pair at 0.75 misses all of 32 bands once in 200,000 times.
+    Texts with the same set of shingles are one class, named by its least id, and each other member makes a pair with
+    that one. All classes that share a band of their fingerprints are compared and those at ``threshold`` make a pair; a
+    band of many is dealt out as pairs of blocks of about ``block`` classes, so the work grows with the square of
+    a band, in many tasks. A pair at 0.75 misses all of 32 bands once in 200,000 times.
     """
     width = PERMUTATIONS // bands * 4
-    prints = stored(fingerprints(docs), "fingerprints")
-    reps = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    cut = reps.select("doc_id", F.posexplode(F.array(*[F.substring("fingerprint", k * width + 1, width) for k in range(bands)])).alias("band", "value"))
-    lead = cut.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = stored(cut.join(lead, ["band", "value"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "band_pairs")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.view(np.int64) for *_, block in _sets(batch.column(1)) for s in block]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toks"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                cls = [ids.view(np.int64) for _, _, ids, _ in _sets(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate(cls)), pa.array([_hex(r) for r in signatures(part.column(1))], pa.string())], ["doc_id", "cls", "fingerprint"])
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = needs(docs, doc_id="bigint", text="string").select("doc_id", text_of().alias("text")).join(met, "doc_id", "left_semi")
-    toks = stored(texts.mapInArrow(sets, "doc_id bigint, toks array<bigint>").dropDuplicates(["doc_id"]), "band_sets")
-    both = pairs.join(toks.select(F.col("doc_id").alias("a"), F.col("toks").alias("_ta")), "a").join(toks.select(F.col("doc_id").alias("b"), F.col("toks").alias("_tb")), "b")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, ids, found in _sets(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["cls", "toks"])
+
+    texts = needs(docs, doc_id="bigint", text="string").select("doc_id", text_of().alias("text")).where("doc_id is not null")
+    prints = stored(texts.mapInArrow(signed, "doc_id bigint, cls bigint, fingerprint string"), "fingerprints")
+    reps = stored(prints.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint")), "classes")
+    cut = reps.select("cls", F.posexplode(F.array(*[F.substring("fingerprint", k * width + 1, width) for k in range(bands)])).alias("band", "value"))
+    many = cut.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int")).drop("n")
+    dealt = cut.join(many, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
+    left = dealt.select("band", "value", F.col("cls").alias("x"), F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("hi"))
+    right = dealt.select("band", "value", F.col("cls").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"))
+    met = left.join(right, ["band", "value", "lo", "hi"]).where("lo < hi or x < y")
+    pairs = stored(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "band_pairs")
+    seen = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+    toks = stored(texts.select("text").mapInArrow(sets, "cls bigint, toks array<bigint>").join(seen, "cls", "left_semi").dropDuplicates(["cls"]), "band_sets").join(reps.select("cls", "rep"), "cls")
+    side = lambda c, n: toks.select(F.col("cls").alias(c), F.col("toks").alias(f"_t{n}"), F.col("rep").alias(f"_r{n}"))
     jaccard = F.size(F.array_intersect("_ta", "_tb")) / F.size(F.array_union("_ta", "_tb"))
-    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    near = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").select(F.least("_ra", "_rb").alias("a"), F.greatest("_ra", "_rb").alias("b"), jaccard.alias("jaccard")).where((F.col("jaccard") >= threshold) & (F.col("a") < F.col("b")))
+    copies = salted_lookup(prints.select("doc_id", "cls").distinct(), reps.select("cls", "rep"), "cls", "doc_id").where("rep < doc_id")
+    return near.union(copies.select("rep", "doc_id", F.lit(1.0)))

@@ -75,3 +75,28 @@ def test_near_pairs_are_verified(sample):
     texts = {r["doc_id"]: r["text"] for r in sample.collect()}
     for r in m.near_pairs(sample).collect():
         assert r["jaccard"] >= 0.75 and r["jaccard"] == pytest.approx(likeness(texts[r["a"]], texts[r["b"]]))
+
+
+def test_near_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    template, texts = [f"t{k}" for k in range(120)], []
+    for family in range(12):  # families are unlike each other and share bands by the template
+        own = [*template[:60], *(f"f{family}x{k}" for k in range(60))]
+        for member in range(6):
+            texts.append(" ".join([*own[:-4], *(f"m{family}y{member}z{k}" for k in range(int(rng.integers(1, 5))))]))
+    texts += [texts[3], texts[3].upper(), "", None, "  "]
+    long = [f"w{k}" for k in range(20_000)]
+    texts += [" ".join(long), " ".join([*long[:9000], "other", *long[9001:]])]
+    rows = list(enumerate(texts))
+    for block in (512, 3):
+        got = {(r["a"], r["b"]): r["jaccard"] for r in m.near_pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()}
+        sets, least = [set_of(t) for t in texts], {}
+        for i, x in enumerate(sets):
+            least.setdefault(frozenset(x), i)
+        want = {}
+        for i, x in enumerate(sets):
+            if least[frozenset(x)] < i:
+                want[least[frozenset(x)], i] = 1.0
+            else:
+                want |= {(j, i): v for j in range(i) if least[frozenset(sets[j])] == j and (v := len(x & sets[j]) / max(1, len(x | sets[j]))) >= 0.75}
+        assert got == pytest.approx(want) and len(want) > 100
