@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomdex.llm import pii, queries
 
@@ -81,6 +82,46 @@ def test_spaced_dots_are_found(spark, model):
     assert all(r["a"] for r in pii.find(d, model).select(pii.listed("all").alias("a")).collect())
 
 
+def test_the_real_span_wins_among_overlapping_candidates(spark, model):
+    said = {
+        "call extension 12 555-123-4567": "555-123-4567", "call 555-123-4567 4112": "555-123-4567", "call me in 2025 555-123-4567.": "555-123-4567",
+        "write to bob at mail.example.com": "bob at mail.example.com", "write to bob (at) mail dot example dot com, thanks": "bob (at) mail dot example dot com",
+        "card 1234 4111.1111.1111.1111": "4111.1111.1111.1111",
+    }
+    d = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["a"] for r in pii.find(d, model).select("doc_id", pii.listed("all").alias("a")).collect()}
+    found = {text: [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[i].split(",") if x)] for i, text in enumerate(said)}
+    assert found == {text: [want] for text, want in said.items()}
+
+
+def test_held_out_crowded_examples(spark, model):
+    rows = pii.crowded(600, seed=5)
+    d = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["a"].split(",") for r in pii.find(d, model).select("doc_id", pii.listed("all").alias("a")).collect()}
+    hit = [f"{kind}:{a}:{b}" in got[i] for i, (kind, _, a, b) in enumerate(rows)]
+    assert sum(hit) > 0.9 * len(hit), [rows[i] for i, h in enumerate(hit) if not h][:5]
+
+
+def test_candidates_and_selection_against_brute_force(spark):
+    rng = random.Random(9)
+    for kind, parts in PARTS.items():
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+        d = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", "text", pii.candidates(F.col("text"), kind).alias("c"))
+        d = d.withColumn("v", F.transform("c", lambda s: F.struct(s.alias("s"), (F.pmod(F.xxhash64(s["start"], s["end"]), F.lit(5)) / 1.0).alias("margin")))).withColumn("best", pii.select(F.col("v")))
+        for r in d.collect():
+            want = set()
+            for p in pii.EACH[kind]:
+                p = re.compile(p)
+                want |= {(i, m.end()) for i in range(len(r["text"])) if (m := p.match(r["text"], i))}
+            assert {(s["start"], s["end"]) for s in r["c"]} == want and len(r["c"]) == len(want), r["text"]
+            assert all(r["text"][s["start"] : s["end"]] == s["said"] for s in r["c"])
+            taken = []
+            for v in sorted(r["v"], key=lambda v: (-v["margin"], v["s"]["start"] - v["s"]["end"], v["s"]["start"])):
+                if all(b <= v["s"]["start"] or v["s"]["end"] <= a for a, b in taken):
+                    taken.append((v["s"]["start"], v["s"]["end"]))
+            assert sorted(taken) == sorted((s["start"], s["end"]) for s in r["best"])
+
+
 def test_held_out_examples(spark, model):
     rows = pii.examples(1200, seed=99)
     d = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id bigint, text string")
