@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loomdex.llm import bpe, queries
@@ -20,6 +21,41 @@ def test_pieces_keep_the_ids():
         pieces = list(bpe.safe_pieces(text, 20))
         assert "".join(pieces) == text
         assert [i for p in pieces for i in c.encode_ordinary(p)] == c.encode_ordinary(text)
+        assert bpe.encode_text(c, text, 10, 2).tolist() == c.encode_ordinary(text)
+
+
+BITS = ["word", " Word", "  ", "\n", "\n\n", "'s", "'ll", "''s", "'", "n't", "é", "😀", "1", "23 ", "...", "!'re", "\t", " a", " ", "中文", "，", "。的", "\u3000", "\xa0", "\x1c", "ß9", "x'd"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_cut_is_safe(seed):
+    c, rng = coder(), random.Random(seed)
+    for _ in range(400):
+        text = "".join(rng.choice(BITS) for _ in range(rng.randint(1, 80)))
+        for size, blank in ((1, 2), (3, 3), (17, 2)):
+            assert bpe.encode_text(c, text, size, blank).tolist() == c.encode_ordinary(text), text
+
+
+def by_definition(c, text):
+    return [i for m in regex.finditer(public_tokenizers.PATTERN, text) for i in c._encode_single_piece(m[0])]
+
+
+MILLIONS = 5_000_000
+
+
+@pytest.mark.parametrize("text", [" " * MILLIONS, "a" + "\n" * MILLIONS, " \n" * (MILLIONS // 2) + "b c", "中" * MILLIONS, "z" * MILLIONS, "7" * 400_000, "." * 400_000, "中文，" * 200_000, "'" * 9 + "s" * 400_000, "e\u0301" * 200_000], ids=lambda x: ascii(x[:3]))
+def test_runs_of_millions(text):
+    c = coder()
+    ids = bpe.encode_text(c, text)
+    assert ids.tolist() == by_definition(c, text)
+    assert c.decode_bytes(ids.tolist()) == text.encode()
+
+
+def test_query_takes_white_space_giants(spark):
+    texts = ["x" + " " * 1_200_000 + "y", "\n" * 1_200_000, None, "ok"]
+    rows = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    for r in rows:
+        assert bytes(r["decoded"]) == (texts[r["doc_id"]] or "").encode()
 
 
 def test_edges_round_trip(docs):
