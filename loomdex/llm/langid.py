@@ -1,19 +1,23 @@
 """Language identification by a linear-chain conditional random field over words.
 
-The words of a text are maximal runs of letters (ASCII letters and bytes of other scripts) of its lower-cased form. The
+The words of a text are maximal runs of letters of its lower-cased form; in scripts that are written without spaces each
+character is a word, so that Chinese next to English is labelled apart (``textarrays.letter_classes``). The
 score of a language for a word adds learned weights of its byte trigrams with the word's edges, its first and last four
 bytes (affixes) and the whole word (lexicon), each hashed into a table; learned transitions tie neighbouring words, so
 that a stretch in another language is labelled as such and a single odd word is not. Forward-backward gives the
 posterior of every word of the whole text, exactly: chunks of 64 words are reduced to transfer matrices, the matrices
 are chained, and the chunks are finished in parallel. A document's language is the one with the largest mean posterior.
 
-Training takes at most ``per_lang`` documents of each of at most ``most_langs`` languages, chosen by a hash of the id,
-and of each the first ``sample_chars`` code points (a bounded, documented sample). Spans of ten words, a part of them
-joined across documents, make code-switched sequences for the transitions.
+Training takes at most ``per_lang`` documents of each language, and of all languages together about ``most_rows``, chosen
+by a hash of the id; of each the first ``sample_chars`` code points (a bounded, documented sample). No language is left
+out, however many there are or short its texts. Spans of ten words, a part of them joined across documents, make
+code-switched sequences for the transitions.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or where no language was learned; rows
-never interact, so repeated rows get equal results; very long texts are whole; ties go to the language that sorts
-first; an empty table gives no rows. Only doc_id, text and lang are used; other columns may have any name.
+never interact, so repeated rows get equal results; ties go to the language that sorts first; an empty table gives no
+rows. Very long texts are whole: they are read in pieces, once forwards and once backwards, with the messages of the
+chain handed on, so that memory holds one piece and the result is that of the text in one; a run of letters longer than
+a piece is read as several words. Only doc_id, text and lang are used; other columns may have any name.
 
 Some language always has the largest posterior, so the pipeline asks two more things of a text, both a mean over its
 words. The margin of a word's best language over chance, without its neighbours, must reach ``LEAST_MARGIN``; and of
@@ -36,17 +40,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name
+from .textarrays import letter_classes
 
-PER_LANG, MOST_LANGS, SAMPLE_CHARS = 150, 32, 4000
+PER_LANG, MOST_ROWS, SAMPLE_CHARS = 150, 20_000, 4000
 TABLE_BITS = 15
 CHUNK = 64
 #: Below these the pipeline rejects a document. The least of the 3,358 held-out rows of 10,000 documents were 0.51 and
 #: 0.79; of 200 texts of random letters the most were 0.33 and 0.35, of 200 of hexadecimal digits 0.44 and 0.92.
 LEAST_MARGIN, LEAST_KNOWN = 0.45, 0.7
 _LETTER = regex.compile(r"\p{L}")
-_WORD = np.zeros(256, bool)
-_WORD[97:123] = True
-_WORD[128:] = True
+#: Code points read at a time, fewer where there are many languages; and where a longer text may be cut.
+PIECE = 1 << 20
+_CUT = regex.compile(r"[\x00-@\[-`{-\x7f]|(?=[\u3041-\u9fff])")
 UND = "und"
 
 
@@ -71,9 +76,8 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     raw = [x.lower().encode() for x in texts]
     data = np.frombuffer(b"    " + b" ".join(raw) + b"    ", np.uint8)
     sizes = np.array([len(x) for x in raw], np.int64) + 1
-    word = _WORD[data]
-    edge = np.diff(word.astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    word, cut = letter_classes(data)
+    starts, ends = np.flatnonzero(word[1:] & (~word[:-1] | cut[1:-1])) + 1, np.flatnonzero(word[:-1] & (~word[1:] | cut[1:-1])) + 1
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], 4 + np.cumsum(sizes)])))
     clean = np.where(word, data, 32).astype(np.uint32)
     mask = np.uint32((1 << TABLE_BITS) - 1)
@@ -132,9 +136,17 @@ def certainty(model: Model, scores: np.ndarray, first: np.ndarray, grams: np.nda
 
 def posteriors(model: Model, counts: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """Forward-backward over the words of many texts: (words, languages)."""
+    return _chained(model, counts, scores)[0]
+
+
+def _chained(model: Model, counts: np.ndarray, scores: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Posteriors, and the messages that the last word sends on and the first word sends back.
+
+    left, right: such messages from the pieces before and after, for a piece of one text.
+    """
     n, k = scores.shape
     if not n:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), left, right
     scores = scores.astype(np.float64)
     e = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-30
     move = np.exp(model.transitions - model.transitions.max()).astype(np.float64)
@@ -146,8 +158,8 @@ def posteriors(model: Model, counts: np.ndarray, scores: np.ndarray) -> np.ndarr
     begins = np.repeat(np.cumsum(counts) - counts, parts) + order * CHUNK
     sizes = np.minimum(CHUNK, np.repeat(np.cumsum(counts), parts) - begins)
     by = np.argsort(-sizes, kind="stable")  # chunks that are still going come first
-    at, left = begins[by], sizes[by]
-    open_at = [int(np.searchsorted(-left, -t, "left")) for t in range(CHUNK)]  # chunks with more than t words
+    at, size = begins[by], sizes[by]
+    open_at = [int(np.searchsorted(-size, -t, "left")) for t in range(CHUNK)]  # chunks with more than t words
     # transfer matrix of each chunk; its first word takes a transition from the chunk before
     prod = np.tile(np.eye(k), (total, 1, 1))
     for t in range(CHUNK):
@@ -164,11 +176,13 @@ def posteriors(model: Model, counts: np.ndarray, scores: np.ndarray) -> np.ndarr
     base = np.cumsum(parts) - parts
     long = np.argsort(-parts, kind="stable")
     deep = int(parts.max())
-    into[base[parts > 0]] = begin
+    into[base[parts > 0]] = begin if left is None else left
+    if right is not None:
+        outof[-1] = right
     for c in range(1, deep):
         rows = base[long[: int(np.searchsorted(-parts[long], -c, "left"))]] + c
         prior = rows - 1
-        if c == 1:
+        if c == 1 and left is None:
             a = _first_product(prod, prior, begin, move, e, begins, sizes)
         else:
             a = np.einsum("nk,nkj->nj", into[prior], prod[prior])
@@ -180,7 +194,7 @@ def posteriors(model: Model, counts: np.ndarray, scores: np.ndarray) -> np.ndarr
     # inside the chunks
     alpha, out = np.empty((n, k)), np.empty((n, k))
     a = into[by]
-    starts = order[by] == 0
+    starts = (order[by] == 0) & (left is None)
     for t in range(CHUNK):
         m = open_at[t]
         if not m:
@@ -200,7 +214,7 @@ def posteriors(model: Model, counts: np.ndarray, scores: np.ndarray) -> np.ndarr
         out[at[:m] + t] = g / g.sum(axis=1, keepdims=True)
         y = (b[:m] * e[at[:m] + t]) @ move.T
         b[:m] = y / y.sum(axis=1, keepdims=True)
-    return out
+    return out, alpha[-1], b[back[0]]
 
 
 def _first_product(prod, rows, begin, move, e, begins, sizes) -> np.ndarray:
@@ -233,13 +247,13 @@ def fit(rows: list[tuple[str, str]], epochs: int = 8, seed: int = 1, span: int =
     model = Model(langs, np.zeros((4, 1 << TABLE_BITS, k), np.float32), np.zeros(k, np.float32), np.zeros((k, k)), np.zeros(k), *familiar)
     # spans of words; a sequence goes on in the same text or, one time in six, elsewhere
     base = np.cumsum(counts) - counts
-    begin = np.concatenate([b + np.arange(0, c - c % span, span) for b, c in zip(base, counts, strict=True)] + [np.zeros(0, np.int64)]).astype(np.int64)
+    begin = np.concatenate([b + np.arange(0, c - c % span, span) for b, c in zip(base, counts, strict=True) if c >= span] + [base[(counts > 0) & (counts < span)]]).astype(np.int64)  # a short text goes on in the next one
     if len(begin) < spans:
         begin = np.resize(np.arange(0, max(1, len(label) - span), max(1, span // 2)), spans)
     squares = np.full_like(model.tables, 1e-2)
     small = [model.bias, model.transitions, model.start]
     small_squares = [np.full_like(w, 1e-2, dtype=np.float64) for w in small]
-    mean, steps = [np.zeros_like(w, dtype=np.float64) for w in (model.tables, *small)], 0
+    mean, steps, late = [np.zeros_like(w, dtype=np.float64) for w in small], 0, np.zeros_like(model.tables, dtype=np.float64)
     for epoch in range(epochs):
         at = np.arange(len(begin) - len(begin) % spans)
         other = rng.random(len(at)) < 1 / 6
@@ -256,12 +270,17 @@ def fit(rows: list[tuple[str, str]], epochs: int = 8, seed: int = 1, span: int =
             gold = np.zeros((len(flat), k), np.float32)
             gold[np.arange(len(flat)), label[flat]] = 1
             g = gold - post.reshape(-1, k).astype(np.float32)
+            averaged = epoch > 0 or epochs == 1
             for table, index, grad in ((0, t3, np.repeat(g, size, axis=0)), (1, aff[:, 0], g), (2, aff[:, 1], g), (3, aff[:, 2], g)):
-                step = np.zeros_like(model.tables[table])
-                np.add.at(step, index, grad)
-                step -= decay * model.tables[table] * (step != 0)
-                squares[table] += step * step
-                model.tables[table] += rate * step / np.sqrt(squares[table])
+                rows_, place = np.unique(index, return_inverse=True)
+                step = np.zeros((len(rows_), k), np.float32)
+                np.add.at(step, place, grad)
+                step -= decay * model.tables[table, rows_] * (step != 0)
+                squares[table, rows_] += step * step
+                step *= rate / np.sqrt(squares[table, rows_])
+                model.tables[table, rows_] += step
+                if averaged:
+                    late[table, rows_] += steps * step  # a change counts in the mean from its own step on
             n = len(flat)
             y = label[idx]
             seen = np.zeros((k, k))
@@ -271,13 +290,13 @@ def fit(rows: list[tuple[str, str]], epochs: int = 8, seed: int = 1, span: int =
                 grad = grad - decay * w
                 square += grad * grad
                 w += 0.1 * grad / np.sqrt(square)
-            if epoch or epochs == 1:
+            if averaged:
                 steps += 1
-                for total, w in zip(mean, (model.tables, *small), strict=True):
+                for total, w in zip(mean, small, strict=True):
                     total += w
     if steps:
-        model.tables = (mean[0] / steps).astype(np.float32)
-        model.bias, model.transitions, model.start = (m / steps for m in mean[1:])
+        model.tables = (model.tables - late / steps).astype(np.float32)
+        model.bias, model.transitions, model.start = (m / steps for m in mean)
         model.bias = model.bias.astype(np.float32)
     return model
 
@@ -303,19 +322,24 @@ def _train_posteriors(model: Model, scores: np.ndarray) -> tuple[np.ndarray, np.
     return post, joint.sum(axis=(0, 1))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """Fit on the bounded sample of the rows that are not held out and have a language."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fit on the bounded sample of the rows that are not held out and have a language.
+
+    Documents of a language in the order of a hash of their ids: the first ``per_lang``, or fewer where so many of each
+    language would be more than ``most_rows``, one at least. Rows that repeat an id and a language count as one.
+    """
     d = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"))
     fit_rows = d.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs = fit_rows.select("lang").distinct().count()
+    each = max(1, min(per_lang, most_rows // max(1, langs)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fit_rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang)
-    known = [r["lang"] for r in fit_rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()]
-    chosen = [r["doc_id"] for r in ids.where(F.col("lang").isin(known)).select("doc_id").limit(per_lang * most_langs).collect()]
-    rows = fit_rows.where(F.col("doc_id").isin(chosen) & F.col("lang").isin(known)).select("doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang").orderBy("doc_id", "lang", "text").limit(2 * per_lang * most_langs).collect()
-    return fit([(r["text"], r["lang"]) for r in rows])
+    ids = fit_rows.select("doc_id", "lang").withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= each).select("doc_id", "lang").distinct()
+    chosen = fit_rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most ``each`` ids of a language
+    rows = chosen.groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, sample_chars)).alias("text")).collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"]))])
 
 
-def _grouped(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _grouped(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` code points together."""
     lo = total = 0
     for hi, t in enumerate(texts):
@@ -327,25 +351,62 @@ def _grouped(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield lo, len(texts)
 
 
-def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+def _pieces(text: str, most: int) -> list[str]:
+    """A long text cut where a word ends; a run of letters without an end is cut after another ``most``."""
+    out, at = [], 0
+    while len(text) - at > most:
+        found = _CUT.search(text, at + most, at + 2 * most)
+        end = found.start() if found else at + 2 * most
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def _long_means(model: Model, text: str, most: int) -> tuple[np.ndarray, int]:
+    """Mean posteriors and certainty of the words of a long text, a piece at a time, and the number of words."""
+    pieces, into, message = _pieces(text, most), [], None
+    for piece in pieces:
+        into.append(message)
+        counts, *parts, _ = _features([piece])
+        message = _chained(model, counts, _emissions(model, *parts), left=message)[1]
+    total, n, message = np.zeros(len(model.langs) + 2), 0, None
+    for piece, left in zip(reversed(pieces), reversed(into), strict=True):
+        counts, *parts, grams = _features([piece])
+        scores = _emissions(model, *parts)
+        post, _, message = _chained(model, counts, scores, left, message)
+        total += np.column_stack([post, *certainty(model, scores, parts[1], grams)]).sum(axis=0)
+        n += len(scores)
+    return total / max(1, n), n
+
+
+def predict(model: Model | None, texts: list[str | None], piece: int = PIECE) -> tuple[list[str], list[float], list[bool]]:
     """The language of each text, its mean posterior, and whether the text is in a learned language at all."""
     langs, scores, sure = [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
     if model is None:
         return langs, scores, sure
-    for lo, hi in _grouped([t or "" for t in texts]):
+    most = max(64, min(piece, piece * 8 // len(model.langs)))
+
+    def decide(i: int, mean: np.ndarray) -> None:
+        if _LETTER.search(texts[i]):
+            posterior, margin, known = mean[:-2], mean[-2], mean[-1]
+            best = int(posterior.argmax())
+            langs[i], scores[i] = model.langs[best], float(min(1.0, max(0.0, posterior[best])))
+            sure[i] = bool(margin >= LEAST_MARGIN and known >= LEAST_KNOWN * (posterior @ model.coverage))
+
+    for lo, hi in _grouped([t or "" for t in texts], most):
+        if hi - lo == 1 and len(texts[lo] or "") > most:
+            mean, n = _long_means(model, texts[lo], most)
+            if n:
+                decide(lo, mean)
+            continue
         counts, *parts, grams = _features([t or "" for t in texts[lo:hi]])
         each = _emissions(model, *parts)
-        post = np.column_stack([posteriors(model, counts, each), *certainty(model, each, parts[1], grams)])
-        sums = np.concatenate([np.zeros((1, len(model.langs) + 2)), np.cumsum(post, axis=0)])
+        seen = np.column_stack([posteriors(model, counts, each), *certainty(model, each, parts[1], grams)])
+        sums = np.concatenate([np.zeros((1, seen.shape[1])), np.cumsum(seen, axis=0)])
         ends = np.cumsum(counts)
         means = (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)[:, None]
-        means, margin, known = means[:, :-2], means[:, -2], means[:, -1]
-        passed = (margin >= LEAST_MARGIN) & (known >= LEAST_KNOWN * (means @ model.coverage))
         for i in np.flatnonzero(counts).tolist():
-            if _LETTER.search(texts[lo + i]):
-                best = int(means[i].argmax())
-                langs[lo + i], scores[lo + i] = model.langs[best], float(min(1.0, max(0.0, means[i, best])))
-                sure[lo + i] = bool(passed[i])
+            decide(lo + i, means[i])
     return langs, scores, sure
 
 

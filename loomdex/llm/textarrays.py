@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes hashed at a time; a longer text is cut at white space and joined again as word hashes.
+#: Bytes hashed at a time; the words of a longer text are joined again.
 BLOCK = 1 << 20
 SHINGLE = 5
 
@@ -70,22 +70,59 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
-def _hash_block(data: np.ndarray, first: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a block, and where each word starts. first: where texts begin, so that no word spans two."""
+def _script_table() -> np.ndarray:
+    """For the first two bytes of a character in UTF-8: 0 a letter, 1 no letter, 2 a script that is written without spaces."""
+    kind = np.zeros(1 << 16, np.uint8)
+    spans = (
+        # fixed values: two leading bytes, first and last, and what their characters are
+        (0xC280, 0xC2BF, 1), (0xC2AA, 0xC2AA, 0), (0xC2B5, 0xC2B5, 0), (0xC2BA, 0xC2BA, 0), (0xC397, 0xC397, 1), (0xC3B7, 0xC3B7, 1),
+        (0xE280, 0xE2AF, 1), (0xE2B8, 0xE2B9, 1), (0xE380, 0xE380, 1), (0xEFB8, 0xEFB8, 1), (0xF09F, 0xF09F, 1),
+        (0xE0B8, 0xE0BB, 2), (0xE180, 0xE182, 2), (0xE19E, 0xE19F, 2), (0xE2BA, 0xE2BF, 2), (0xE381, 0xE3BF, 2), (0xE480, 0xE9BF, 2), (0xF0A0, 0xF0BF, 2),
+    )
+    for first, last, k in spans:
+        kind[first : last + 1] = k
+    return kind
+
+
+_SCRIPT = _script_table()
+#: Third bytes of U+FF00 to U+FF3F and of U+FF40 to U+FF7F that are no letters.
+_WIDE = {0xBC: np.isin(np.arange(256), [*range(0x80, 0xA1), *range(0xBB, 0xC0)]), 0xBD: np.isin(np.arange(256), [0x80, *range(0x9B, 0xA6)])}
+
+
+def letter_classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of UTF-8 bytes: whether each is part of a word, and (one place more) whether a word begins there whatever comes before.
+
+    Letters are ASCII letters and all other characters but punctuation, symbols and emoji. A character of a script that is
+    written without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word of its own.
+    """
+    word, begins = ~_NOT_LETTER[data], np.zeros(len(data) + 1, bool)
+    lead = np.flatnonzero(data[:-1] >= 0xC2)
+    if len(lead):
+        first, second = data[lead].astype(np.int64), data[lead + 1].astype(np.int64)
+        kind = _SCRIPT[first << 8 | second]
+        kind[(first == 0xEF) & (second == 0xBF)] = 1
+        for k, none in _WIDE.items():
+            at = np.flatnonzero((first == 0xEF) & (second == k))
+            kind[at[none[data[lead[at] + 2]]]] = 1
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        for k in range(4):
+            word[lead[(kind == 1) & (size > k)] + k] = False
+        alone = kind == 2
+        begins[lead[alone]] = begins[lead[alone] + size[alone]] = True
+    return word, begins
+
+
+def _word_sums(data: np.ndarray, first: np.ndarray, letters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[bool, bool]]:
+    """Words of a block: their sums of bytes by powers, where they start and end, and whether its first and its last byte
+    are cut off from any before and after. first: where texts begin, so that no word spans two."""
     n = len(data)
-    if not n:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
     power, inverse = _power_tables(max(n + 1, BLOCK))
-    space = gaps[data]
-    before = np.empty(n, bool)
-    before[0], before[1:] = True, space[:-1]
-    before[first] = True
-    word = ~space
-    starts = np.flatnonzero(word & before)
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = True, space[1:]
-    after[first[first > 0] - 1] = True
-    ends = np.flatnonzero(word & after)
+    word, cut = letter_classes(data) if letters else (~_IS_SPACE[data], np.zeros(n + 1, bool))
+    edges = bool(cut[0]), bool(cut[n])
+    cut[:n] |= ~word
+    cut[1:] |= ~word
+    cut[first] = cut[0] = cut[n] = True
+    starts, ends = np.flatnonzero(word & cut[:n]), np.flatnonzero(word & cut[1:])
     sums = _BYTE[data]
     sums *= power[:n]
     np.cumsum(sums, out=sums)
@@ -94,33 +131,49 @@ def _hash_block(data: np.ndarray, first: np.ndarray, gaps: np.ndarray) -> tuple[
     if len(h) and starts[0]:
         h[0] -= sums[starts[0] - 1]
     h *= inverse[starts]
+    return h, starts, ends, edges
+
+
+def _hash_block(data: np.ndarray, first: np.ndarray, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a block, and where each word starts."""
+    if not len(data):
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    h, starts, _, _ = _word_sums(data, first, letters)
     return mix(h), starts
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text cut after white space, about BLOCK bytes each."""
-    at = 0
+def _hash_long(data: np.ndarray, letters: bool) -> np.ndarray:
+    """Word hashes of one long text, BLOCK bytes at a time; a word that goes on in the next block is joined with its rest."""
+    out, at, held = [], 0, None  # held: sum and length of a word that may go on
     while at < len(data):
         end = min(at + BLOCK, len(data))
-        while end < len(data):
-            found = np.flatnonzero(_IS_SPACE[data[max(at, end - 4096) : end]])
-            if len(found):
-                end = max(at, end - 4096) + int(found[-1]) + 1
-                break
-            end = min(end + BLOCK, len(data))
-        yield data[at:end]
+        while end < len(data) and data[end] & 0xC0 == 0x80:  # characters stay whole
+            end -= 1
+        h, starts, ends, (cut_off, closed) = _word_sums(data[at:end], np.zeros(0, np.int64), letters)
+        before = 0
+        if held:
+            if len(h) and starts[0] == 0 and not cut_off:
+                before = held[1]
+                h[0] = U64((held[0] + pow(_STEP, before, 1 << 64) * int(h[0])) % (1 << 64))
+            else:
+                out.append(mix(np.array([held[0]], U64)))
+        held = None
+        if len(h) and ends[-1] == end - at - 1 and not closed and end < len(data):
+            held = int(h[-1]), int(ends[-1] - starts[-1]) + 1 + (before if len(h) == 1 else 0)
+            h = h[:-1]
+        out.append(mix(h))
         at = end
+    return np.concatenate(out) if out else np.zeros(0, U64)
 
 
 def words(column: pa.Array, letters: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Word hashes of a column of texts, block by block.
 
     Yields (lo, hi, counts, hashes): rows lo to hi - 1, words of each, and the hashes of all of them in order. A word
-    is a maximal run without ASCII white space or, with ``letters``, of ASCII letters and bytes of other scripts; A-Z are
-    lower-cased. Memory is bounded by BLOCK for
-    short texts and by eight bytes a word for a longer one.
+    is a maximal run without ASCII white space or, with ``letters``, of letters (see ``letter_classes``); A-Z are
+    lower-cased. Memory is bounded by BLOCK for short texts and by eight bytes a word for a longer one, whatever the
+    length of its words.
     """
-    gaps = _NOT_LETTER if letters else _IS_SPACE
     offsets, data = buffers(column)
     lo, rows = 0, len(offsets) - 1
     with np.errstate(over="ignore"):
@@ -128,14 +181,13 @@ def words(column: pa.Array, letters: bool = False) -> Iterator[tuple[int, int, n
             hi = int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1
             hi = min(max(hi, lo + 1), rows)
             if offsets[hi] - offsets[lo] > BLOCK:
-                parts = [_hash_block(x, np.zeros(0, np.int64), gaps)[0] for x in _pieces(data[offsets[lo] : offsets[hi]])]
-                h = np.concatenate(parts)
+                h = _hash_long(data[offsets[lo] : offsets[hi]], letters)
                 yield lo, hi, np.array([len(h)]), h
             else:
                 base = offsets[lo]
                 at = offsets[lo : hi + 1] - base
                 first = at[:-1][at[:-1] < at[1:]]
-                h, starts = _hash_block(data[base : offsets[hi]], first, gaps)
+                h, starts = _hash_block(data[base : offsets[hi]], first, letters)
                 yield lo, hi, np.diff(np.searchsorted(starts, at)), h
             lo = hi
 

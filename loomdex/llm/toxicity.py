@@ -10,9 +10,13 @@ solves the equation of the clean words' scores and K is counted on clean texts.
 significant; their excess, lambda * S - ln(K * n), is summed and a logistic curve turns it into a probability; the curve is fitted to documents
 whose words were learned from the other half of the sample.
 
+Words are runs of letters, and single characters in scripts without spaces (``textarrays.letter_classes``).
+
 Defined results: a null or empty text has no segment and the score of such texts; repeated rows get equal results; very
-long texts are whole; a document with several labels counts as toxic if any says so; without toxic and clean labels
-the score is 0 everywhere; an empty table gives no rows. Labels, language, source and id are no inputs of a score.
+long texts are whole, a block of bytes at a time; a document with several labels counts as toxic if any says so; of
+rows that repeat an id the least text is learned from; of segments with equal sums the shorter, then the earlier;
+without toxic and clean labels the score is 0 everywhere; an empty table gives no rows. Labels, language, source and id
+are no inputs of a score. Only doc_id, text and toxic are used; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -189,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample
     chosen = {y: [r["doc_id"] for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(per_class).collect()] for y in (0, 1)}
     texts = docs.select(F.col("doc_id").cast("bigint"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text"))
     label = {d: y for y, ids in chosen.items() for d in ids}
-    rows = texts.where(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull()).orderBy("doc_id", "text").limit(4 * per_class).collect()
+    own = texts.where(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull())
+    rows = sorted(own.groupBy("doc_id").agg(F.min("text").alias("text")).collect())  # one row of an id, however often it is there
     return fit([(r["text"], label[r["doc_id"]]) for r in rows], (totals[0] / len(chosen[0]), totals[1] / len(chosen[1])))
 
 

@@ -63,6 +63,48 @@ def test_code_switched_text(model, texts):
     assert [lang for lang, n in runs if n > 5] == ["en", "de", "fr"]
 
 
+def test_scripts_without_spaces_switch_inside_a_run_of_letters():
+    latin, han = "the quick brown fox jumps over a lazy dog again", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心"
+    m = langid.fit([(latin, "en"), (han, "zh")] * 20)
+    runs = langid.word_runs(m, han[3:20] + "quick" + han[5:12] + "，lazy dog again the")
+    assert [lang for lang, _ in runs] == ["zh", "en", "zh", "en"] and runs[0][1] == 17
+
+
+def test_long_texts_in_pieces(model, texts):
+    some = [r["text"] for r in texts.where(F.length("text") > 900).orderBy("doc_id").limit(12).collect()]
+    some += ["中文 and English " * 60, "x" * 4000, " " * 900, "ü" * 3000 + " das ist", "".join(some[:3])]
+    whole, parts = langid.predict(model, some), langid.predict(model, some, piece=150)
+    near = [k for k in range(len(some)) if "x" * 999 not in some[k] and "ü" * 999 not in some[k]]
+    assert whole[0] == parts[0] and whole[2] == parts[2]
+    assert np.allclose([whole[1][k] for k in near], [parts[1][k] for k in near], atol=1e-9)
+    for piece in (97, 300, 1000):
+        assert all("".join(langid._pieces(t, piece)) == t for t in some)
+
+
+def test_very_long_texts_in_little_memory(model, texts):
+    import resource
+
+    text = texts.where("lang = 'de'").orderBy(F.length("text").desc()).first()["text"] + " "
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    giants = [text * (6_000_000 // len(text)), "中" * 1_000_000, "q" * 5_000_000]
+    assert langid.predict(model, giants)[0][0] == "de"
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kB
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for lang in range(40):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(lang * 100 + i, " ".join(rng.choice(own, 5 if lang % 2 else 40)), f"l{lang:02}") for i in range(30)]
+    d = spark.createDataFrame(rows + rows[:1] * 500, "doc_id bigint, text string, lang string")
+    m = langid.train(d)
+    assert len(m.langs) == 40
+    got, *_ = langid.predict(m, [t for _, t, _ in rows])
+    assert all(np.mean([g == lang for g, (_, _, lang) in zip(got, rows) if lang == own]) > 0.9 for own in m.langs)
+    assert len(langid.train(d, most_rows=40).langs) == 40
+
+
 def test_language_edges(docs, no_docs, model):
     out = langid.identify(docs.select("doc_id", "text"), model)
     got = {r["doc_id"]: r for r in out.collect()}
