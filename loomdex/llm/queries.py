@@ -132,13 +132,15 @@ b AS (
   FROM documents),
 c AS (
   SELECT doc_id, source, size,
-         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, l[(xor(s, x) & 255) + 1])), 4294967295) AS text_crc32,
-         ('0x' || substr(md5('shard-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, l[(xor(s, x) & 255) + 1])), 4294967295) AS text_crc32
   FROM b, tab),
+h AS (
+  SELECT *, ('0x' || substr(md5('shard-1:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32), 1, 15))::BIGINT AS key
+  FROM c),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size, text_crc32) - 1 AS rank,
          count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total
-  FROM c),
+  FROM h),
 g AS (
   SELECT *, row_number() OVER (ORDER BY (rank * 2 + 1)::DOUBLE / (n * 2)::DOUBLE, source IS NULL, source, key, doc_id, size, text_crc32) - 1 AS place
   FROM r)
@@ -151,10 +153,10 @@ OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS size,
-         len(regexp_extract_all(coalesce(text, ''), '[!-@\[-`{-~]')) AS marks, length(coalesce(text, '')) AS chars
+         len(regexp_extract_all(coalesce(text, ''), '[!-@\[-`{-~]')) AS marks, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS text_md5
   FROM documents),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5('mix-1:' || doc_id), 1, 15))::BIGINT + 1) / 1152921504606846976.0::DOUBLE)
+  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || text_md5), 1, 15))::BIGINT + 1) / 1152921504606846976.0::DOUBLE)
             / ((8 - least(7, floor(marks * 32 / greatest(chars, 1)))) / 8.0::DOUBLE) AS key
   FROM d),
 s AS (

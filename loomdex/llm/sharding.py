@@ -5,9 +5,10 @@ sources on one scale, on which every stretch has the mixture of the whole; the s
 counts differ by one at most (law ``rows``). Both rankings run over buckets (see ``ordering``), so neither a hot source
 nor the whole table meets in one task, and only ids and sizes move: no text is shuffled.
 
-Defined results: a null text has size 1 and CRC 0; null sources form one stratum; rows with the same id (repeated rows)
-are told apart by source, size and CRC and otherwise interchangeable; an empty table gives no rows; with fewer rows
-than shards some shards are empty. Extra columns are ignored.
+Defined results: a null text has size 1 and CRC 0; null sources form one stratum; rows with the same id or none are told
+apart by source, size and CRC, which also go into the seeded key, so that they are mixed like others; rows equal in all
+of these are interchangeable; a very long text counts by its size and is not moved; an empty table gives no rows; with
+fewer rows than shards some shards are empty. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: str = SEED) -> DataFrame:
         F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("_stratum"),
         (F.octet_length(text_of()) + 1).cast("bigint").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        seeded(seed, "doc_id").alias("_key"),
-    )
+    ).withColumn("_key", seeded(seed, "doc_id", "size", "text_crc32"))
     d = stored(d, "shard_rows")  # ids, sizes and checksums: the texts are read once
     strata = d.groupBy("_stratum").agg(F.count("*").alias("source_rows"))
     d = small_lookup(d, strata, "_stratum", "_key", "strata")

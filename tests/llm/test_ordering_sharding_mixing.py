@@ -28,7 +28,7 @@ def brute_shards(rows, shards):
     by = defaultdict(list)
     for d, s, t in rows:
         raw = (t or "").encode()
-        by[(s is not None, s or "")].append((seeded(sharding.SEED, d), d is not None, d or 0, len(raw) + 1, binascii.crc32(raw)))
+        by[(s is not None, s or "")].append((seeded(sharding.SEED, d, len(raw) + 1, binascii.crc32(raw)), d is not None, d or 0, len(raw) + 1, binascii.crc32(raw)))
     order = []
     for s, members in by.items():
         for k, x in enumerate(sorted(members)):
@@ -90,7 +90,7 @@ def brute_mix(rows):
             if o == s:
                 marks = len(re.findall(r"[!-@\[-`{-~]", t or ""))
                 q = (8 - min(7, marks * 32 // max(1, len(t or "")))) / 8
-                members.append((-math.log((seeded(mixing.SEED, d) + 1) / 2**60) / q, d is not None, d or 0, size(t)))
+                members.append((-math.log((seeded(mixing.SEED, d, hashlib.md5((t or "").encode()).hexdigest()) + 1) / 2**60) / q, d is not None, d or 0, size(t)))
         epochs = math.floor(target[s] / total[s]) if total[s] else 0
         rest, before = target[s] - epochs * total[s], 0
         for _, has, d, n in sorted(members):
@@ -120,6 +120,39 @@ def test_apply_keeps_columns_and_copies(docs, sample):
     assert Counter(r["doc_id"] for r in mixing.apply_mix(sample).select("doc_id").collect()) == want
 
 
+def test_no_bucket_is_crowded(spark, monkeypatch):
+    """Qualities of an eighth, mixed ones, and rows without an id: no bucket has three times its share."""
+    met = []
+    real = ordering.running
+
+    def spy(df, group, bucket, *args):
+        met.append(df.groupBy(*group, bucket).count().collect())
+        return real(df, group, bucket, *args)
+
+    for module in (mixing, sharding):
+        monkeypatch.setattr(module, "running", spy)
+        monkeypatch.setattr(module, "BUCKET_ROWS", 100)
+    code = F.concat(F.lit("={}();"), F.col("id").cast("string"))
+    plain = F.concat(F.lit("plain words of a text "), F.col("id").cast("string"))
+    text = F.when(F.col("id") % 3 > 0, code).otherwise(F.when(F.col("id") % 2 == 0, plain).otherwise(F.concat(plain, code)))
+    d = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, "code").alias("source"), text.alias("text"))
+    assert mixing.mix(d).count() == sharding.shard(d).count() == 6000
+    assert len(met) == 3
+    for buckets in met:
+        counts = [r["count"] for r in buckets]
+        assert max(counts) < 3 * 100 and len(counts) > 50
+
+
+def test_apply_mix_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a", "one two three"), (1, "b", "four five"), (1, "b", "six"), (None, "a", "seven eight"), (None, "b", "nine"), (2, "a", "ten"), (3, None, "eleven twelve")] + [(4, "a", "same row again")] * 5 + [(5, "a", None), (5, "b", "a b c d e f g h")]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    want = Counter()
+    for r in mixing.mix(d).collect():
+        want[r["doc_id"], r["source"], r["check"]] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], r["check"]) for r in mixing.apply_mix(d).withColumn("check", F.md5(F.coalesce("text", F.lit("")))).collect())
+    assert got == +want and max(want.values()) > 2
+
+
 def test_queries_have_the_contract_columns(spark, sf):
     assert queries.op6_sharding(spark, sf).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert queries.op8_mixing(spark, sf).columns == ["doc_id", "size", "source_size", "target", "taken"]
