@@ -25,11 +25,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, find, listed, train
+    from .pii import BASE_KINDS, KINDS, find, listed, train
 
-    found = find(table(spark, sf_dir, "documents"), train(spark))
-    counts = [F.size(f"base_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))
+    docs = table(spark, sf_dir, "documents")
+    found = find(docs, train(spark, docs))
+    counts = [F.size(f"base_{k}").cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
+    n_spans = sum((F.size(f"all_{k}") for k in KINDS), F.lit(0)).cast("bigint").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"), n_spans)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
