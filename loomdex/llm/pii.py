@@ -450,7 +450,9 @@ def _made(n: int, seed: int, crowd: bool, contexts: list[str] = []) -> list[tupl
 
 def _contexts(docs: DataFrame, n: int) -> list[str]:
     """Words before places in ``n`` documents that a hash of the id chooses, from their first 4,000 code points."""
-    texts = needs(docs, doc_id="bigint", text="string").where("text is not null").select(F.substring("text", 1, 4000).alias("text"), F.xxhash64("doc_id").alias("_o"), "doc_id").orderBy("_o", "doc_id", "text").limit(n).select("text").collect()
+    d = needs(docs, doc_id="bigint", text="string").where("text is not null and doc_id is not null")
+    ids = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)  # ids only go to the driver and back
+    texts = d.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.substring("text", 1, 4000)).alias("text")).orderBy("doc_id").collect()
     rng, out = random.Random(3), []
     for r in texts:
         said = r["text"].split()
