@@ -1,7 +1,7 @@
 """Exact similarity join of word-shingle sets with a token-group matrix.
 
 Two documents link when 100 * |A and B| >= 75 * |A or B| over their distinct shingles of five lower-cased words. The
-join is whole: it rests on bounds that no linked pair fails, never on caps or chance.
+join is whole: it rests on bounds that no linked pair fails, never on caps; chance enters by hashes alone (below).
 
 1. Classes. Documents with the same set are one class; copies cost nothing further.
 2. Shared tokens. Each task sends its shingles, sorted and packed as gaps, to token buckets; a bucket counts in how many
@@ -16,7 +16,13 @@ join is whole: it rests on bounds that no linked pair fails, never on caps or ch
    reach the bound are opened and their members verified. Pairs within a group are connected already.
 5. Components of all verified links.
 
-Tokens are 48 bits of a 64-bit hash: a pair of documents of 500 words sees a false common token once in a billion pairs.
+Shingles are known by hashes of 64 bits and tokens by the first 48 of them: a pair of documents of 500 words sees a false
+common token once in a billion pairs, which can only turn a pair at the very edge of the threshold. Classes are known by
+64-bit sums of hashed shingles: among n different sets a false merge is expected n * n / 2^65 times, once among six
+billion and hence a few times at 10^10; it is not looked for.
+
+Buckets hold about ``BUCKET_TOKENS`` tokens and blocks about ``BLOCK_TOKENS``, however large the input, so the memory of a
+task does not follow it. Very long texts are hashed a block at a time and their sets sorted whole, eight bytes a word.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ PERCENT = 75
 #: Tokens that a task packs at a time, and members of a block of a group. Neither changes the result.
 FLUSH = 500_000
 BLOCK_MEMBERS = 64
+#: Tokens of a token or class bucket, and of a block of a group; neither changes the result.
+BUCKET_TOKENS, BLOCK_TOKENS = 2_000_000, 200_000
 #: A token in this share of the texts of a pack, and in so many at least, is frequent.
 FREQUENT_SHARE, FREQUENT_LEAST = 256, 32
 FREQUENT = (1 << 31) - 1
@@ -191,12 +199,16 @@ def _merged(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, np.ndar
             yield int(ids[lo : lo + 1].view(np.int64)[0]), int(sizes[lo]), tokens[lo:hi].view(np.int64)
 
 
-def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH, share: int = FREQUENT_SHARE, least: int = FREQUENT_LEAST) -> DataFrame:
+def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH, share: int = FREQUENT_SHARE, least: int = FREQUENT_LEAST, tokens: int = 0, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """cls, n, toks: the classes that can have a partner, with their shared tokens from rare to frequent.
 
+    tokens: how many shingles there are; there are as many buckets as keep each at ``bucket_tokens``.
+
     ``toks`` is ordered by (number of classes, token); the n - size(toks) tokens of no other class come before them all.
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(usual, -(-tokens // bucket_tokens))
+    dealt = lambda df: df.repartition(buckets, "key") if buckets > usual else df  # noqa: E731  the grouping needs no other exchange
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -243,8 +255,8 @@ def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH,
 
     ddl = "key bigint, first bigint, gaps binary, ords binary, ids binary, sizes binary"
     sent = _texts(docs).mapInArrow(send, ddl)
-    counted = sent.groupBy("key").applyInArrow(count, ddl + ", counts binary")
-    return counted.groupBy("key").applyInArrow(merge, "cls bigint, n bigint, toks array<bigint>")
+    counted = dealt(sent).groupBy("key").applyInArrow(count, ddl + ", counts binary")
+    return dealt(counted).groupBy("key").applyInArrow(merge, "cls bigint, n bigint, toks array<bigint>")
 
 
 def _need(n: str, percent: int) -> str:
@@ -285,10 +297,11 @@ def links(sets: DataFrame, percent: int = PERCENT, block_members: int = BLOCK_ME
         new = _verified(best, sets, percent)
         found = stored(new if found is None else found.union(new), f"links{r}")
     groups = components(found).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("_members"))
+    load = groups.join(sets.select("cls", F.size("toks").alias("_t")), "cls").groupBy("grp").agg(F.count("*").alias("_count"), F.sum("_t").alias("_t"))
+    sizes = load.select("grp", F.greatest(F.col("_count") / F.lit(block_members), F.col("_t") / F.lit(BLOCK_TOKENS)).alias("_blocks"))
     groups = salted_lookup(groups, sizes, "grp", "cls")
-    member = sets.join(groups, "cls", "left").select("cls", "n", "toks", F.coalesce("grp", "cls").alias("grp"), F.coalesce("_members", F.lit(1)).alias("_members"))
-    blocks = F.pmod(F.xxhash64("cls"), F.ceil(F.col("_members") / F.lit(block_members)))
+    member = sets.join(groups, "cls", "left").select("cls", "n", "toks", F.coalesce("grp", "cls").alias("grp"), F.coalesce("_blocks", F.lit(1.0)).alias("_blocks"))
+    blocks = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.ceil("_blocks")))
     names = stored(member.select("cls", "n", "grp", blocks.cast("int").alias("block")), "groups")
     # prefix tokens that more than one group has, and the cells (token, block) of the matrix there
     known = prefix.join(names.drop("n"), "cls")
@@ -320,11 +333,13 @@ def near_components(docs: DataFrame, percent: int = PERCENT, **options) -> DataF
     Defined results: a document without words (null, empty or white space) has an empty set and links with nothing, not
     even another such; one with fewer than five words has its whole sequence as one shingle; repeated rows are equal
     and link; an empty table gives no rows. Groups of copies are one class; the joins back to the documents are salted.
-    Extra columns are ignored.
+    Rows that share a doc_id with different texts are documents of their own. Very long texts are whole. Extra columns
+    are ignored, whatever their names.
     """
-    knobs = {k: options.pop(k) for k in ("flush", "share", "least") if k in options}
+    knobs = {k: options.pop(k) for k in ("flush", "share", "least", "bucket_tokens") if k in options}
     rows = stored(classes(docs), "classes")
-    sets = stored(surviving_sets(docs, percent, **knobs), "sets")
+    tokens = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    sets = stored(surviving_sets(docs, percent, tokens=tokens, **knobs), "sets")
     edges = stored(links(sets, percent, **options), "all_links")
     labels = components(edges).select(F.col("node").alias("cls"), "label")
     first = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
