@@ -21,7 +21,7 @@ a piece is read as several words. Only doc_id, text and lang are used; other col
 
 Some language always has the largest posterior, so the pipeline asks two more things of a text, both a mean over its
 words and both relative to the training texts of the languages it is in. The margin of a word's best language over
-chance, without its neighbours and 0 for letters between digits, must reach ``LEAST_MARGIN`` of the usual margin; and of
+chance, without its neighbours and without words that touch a digit, must reach ``LEAST_MARGIN`` of the usual margin; and of
 its letters, the share whose trigram the training texts hold must reach ``LEAST_KNOWN`` of what a training text has
 in common with the others of its language. Code-switched text passes, as each of its words is certain; words of no
 learned language do not, however often repeated. A known word repeated is in a known language and stays. With one
@@ -374,18 +374,18 @@ def _pieces(text: str, most: int) -> list[str]:
 
 
 def _long_means(model: Model, text: str, most: int) -> tuple[np.ndarray, int]:
-    """Mean posteriors and certainty of the words of a long text, a piece at a time, and the number of words."""
+    """Mean posteriors, certainty and share apart from digits of the words of a long text, a piece at a time, and the number of words."""
     pieces, into, message = _pieces(text, most), [], None
     for piece in pieces:
         into.append(message)
         counts, *parts, _, _ = _features([piece])
         message = _chained(model, counts, _emissions(model, *parts), left=message)[1]
-    total, n, message = np.zeros(len(model.langs) + 2), 0, None
+    total, n, message = np.zeros(len(model.langs) + 3), 0, None
     for piece, left in zip(reversed(pieces), reversed(into), strict=True):
         counts, *parts, grams, apart = _features([piece])
         scores = _emissions(model, *parts)
         post, _, message = _chained(model, counts, scores, left, message)
-        total += np.column_stack([post, *certainty(model, scores, parts[1], grams, apart)]).sum(axis=0)
+        total += np.column_stack([post, *certainty(model, scores, parts[1], grams, apart), apart]).sum(axis=0)
         n += len(scores)
     return total / max(1, n), n
 
@@ -399,7 +399,7 @@ def predict(model: Model | None, texts: list[str | None], piece: int = PIECE) ->
 
     def decide(i: int, mean: np.ndarray) -> None:
         if _LETTER.search(texts[i]):
-            posterior, margin, known = mean[:-2], mean[-2], mean[-1]
+            posterior, margin, known = mean[:-3], mean[-3] / max(mean[-1], 1e-9), mean[-2]
             best = int(posterior.argmax())
             langs[i], scores[i] = model.langs[best], float(min(1.0, max(0.0, posterior[best])))
             sure[i] = bool(margin >= LEAST_MARGIN * (posterior @ model.usual) and known >= LEAST_KNOWN * (posterior @ model.coverage))
@@ -412,7 +412,7 @@ def predict(model: Model | None, texts: list[str | None], piece: int = PIECE) ->
             continue
         counts, *parts, grams, apart = _features([t or "" for t in texts[lo:hi]])
         each = _emissions(model, *parts)
-        seen = np.column_stack([posteriors(model, counts, each), *certainty(model, each, parts[1], grams, apart)])
+        seen = np.column_stack([posteriors(model, counts, each), *certainty(model, each, parts[1], grams, apart), apart])
         sums = np.concatenate([np.zeros((1, seen.shape[1])), np.cumsum(seen, axis=0)])
         ends = np.cumsum(counts)
         means = (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)[:, None]
