@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import boolean, export, index, layout, ranked, workload
 from .sources import docstream, store
 
 
+def show(df: DataFrame) -> None:
+    """Every row, tab-separated under the column names, a partition at a time."""
+    print(*df.columns, sep="\t")
+    for row in df.toLocalIterator():
+        print(*row, sep="\t")
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomdex")
     sub = p.add_subparsers(dest="what", required=True)
@@ -58,13 +65,13 @@ def main(argv: list[str] | None = None) -> None:
             if args.trec:
                 ranked.trec_run(run).orderBy("query_ord", "rank").select("line").write.text(args.trec)
             else:
-                run.orderBy("query_ord", "rank").show(1000, truncate=False)
+                show(run.orderBy("query_ord", "rank"))
             return
         if getattr(args, "v", 0) > 1:
-            boolean.and_profile(queries, at).orderBy("query_ord", "i").show(1000, truncate=False)
+            show(boolean.and_profile(queries, at).orderBy("query_ord", "i"))
         counts = (boolean.and_count if args.what == "and" else boolean.or_count)(queries, at)
         if getattr(args, "v", 0):
-            workload.run_log(counts).orderBy("query_ord").show(1000, truncate=False)
+            show(workload.run_log(counts).orderBy("query_ord"))
         workload.match_stats(counts).show()
     elif args.what == "export":
         docs = docstream.read_docstream(spark, args.documents)

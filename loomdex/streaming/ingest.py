@@ -77,10 +77,12 @@ def dry_run(stream: DataFrame, checkpoint: str) -> StreamingQuery:
 
 
 def live_index(spark: SparkSession, path: str) -> Index:
-    """The index of all committed batches; lexicon rows of the batches are summed when read."""
-    parts = spark.read.parquet(f"{path}/lexicon")
-    lexicon = parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("last_docid").alias("last_docid"))
-    return Index(spark.read.parquet(f"{path}/documents").drop("batch_id"), spark.read.parquet(f"{path}/postings").drop("batch_id"), lexicon)
+    """The index of all batches in the ledger, which is written last: of a batch that is being written or failed half-way
+    nothing is seen, in no table. Lexicon rows of the batches are summed when read."""
+    done = F.broadcast(_ledger(spark, path).select("batch_id").distinct())  # a row for each batch
+    part = lambda name: spark.read.parquet(f"{path}/{name}").join(done, "batch_id", "left_semi").drop("batch_id")
+    lexicon = part("lexicon").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("last_docid").alias("last_docid"))
+    return Index(part("documents"), part("postings"), lexicon)
 
 
 def compact_lexicon(spark: SparkSession, path: str, to: str) -> None:

@@ -39,6 +39,15 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert pairs(again.postings, "term", "docid", "tf") == pairs(want.postings, "term", "docid", "tf")
     ingest.compact_lexicon(spark, str(tmp_path / "store"), str(tmp_path / "lex"))
     assert pairs(spark.read.parquet(str(tmp_path / "lex")), "term", "df") == pairs(want.lexicon, "term", "df")
+    # a batch that got as far as its postings but not to the ledger is not there for readers
+    half = spark.createDataFrame([(9, "d9", ["c", "new"])], "docid bigint, text_id string, tokens array<string>")
+    built = index.build(half)
+    for name, part in (("documents", built.documents), ("postings", built.postings), ("lexicon", built.lexicon)):
+        part.write.parquet(str(tmp_path / "store" / name / "batch_id=77"))
+    seen = ingest.live_index(spark, str(tmp_path / "store"))
+    assert pairs(seen.postings, "term", "docid", "tf") == pairs(want.postings, "term", "docid", "tf")
+    assert pairs(seen.lexicon, "term", "df", "cf") == pairs(want.lexicon, "term", "df", "cf")
+    assert pairs(seen.documents, "docid", "length") == pairs(want.documents, "docid", "length")
     shutil.rmtree(tmp_path / "store")
 
 
@@ -51,3 +60,15 @@ def test_state_and_dry_run(spark, tmp_path):
     q = df.writeStream.format("memory").queryName("df_now").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert pairs(spark.table("df_now"), "term", "df") == [("a", 1), ("b", 2), ("c", 1)]
+
+
+def test_command_line_prints_every_row(spark, tmp_path, capsys):
+    from loomdex.__main__ import main
+
+    (tmp_path / "docs").write_text("".join(f"d{i} a b{i % 3}\n" for i in range(30)))
+    (tmp_path / "queries").write_text("".join(f"{q} a b{q % 3}\n" for q in range(120)))
+    main(["index", str(tmp_path / "docs"), str(tmp_path / "index")])
+    capsys.readouterr()
+    main(["ranked", str(tmp_path / "index"), str(tmp_path / "queries"), "10"])
+    lines = capsys.readouterr().out.splitlines()
+    assert len([x for x in lines if x.count("\t") >= 3]) == 1 + 120 * 10
