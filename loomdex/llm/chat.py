@@ -10,7 +10,7 @@ ordered by the turn of the first message of a reply tree and, within the tree, b
 Defined results: a null text is empty; a message without a linked quote begins a tree of its own, so a conversation
 without quotes keeps its turns in order; quotes without an original are removed too, and listed in ``unlinked``; lines
 such as "On ... wrote:" before a quote go with it; repeated rows (same conversation and turn) are ordered by role and
-text; a null conversation is one of its own, a null turn comes first, a null role is ``unknown``; an empty table gives
+text; turns may be negative; a null conversation is one of its own, a null turn comes first, a null role is ``unknown``; an empty table gives
 no rows. Joins are salted and ranks run over buckets, so a conversation of any length is dealt over many tasks.
 """
 
@@ -23,9 +23,11 @@ from .common import needs, salted_lookup, stored, text_of
 from .ordering import running
 
 _MARKS = r"^((?:[ \t]*>)+)"
-_ATTRIBUTION = r"(?im)^(?:on .{1,200} wrote:|-{2,} ?original message ?-{2,})[ \t]*\n?(?=(?:[ \t]*\n)*[ \t]*>)"
+_ATTRIBUTION = r"(?im)^(?:on .+ wrote:|-{2,} ?original message ?-{2,})[ \t]*\n?(?=(?:[ \t]*\n)*[ \t]*>)"
 #: Turns of a bucket when messages are ranked.
 BUCKET_TURNS = 1024
+#: Stands for a missing turn inside; turns lie within 2^40 of 0.
+NO_TURN = -(1 << 40)
 
 
 def normalised(text: Column) -> Column:
@@ -83,7 +85,7 @@ def links(messages: DataFrame) -> DataFrame:
 def format_chat(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, position, root_turn, reply_to, n_quotes, n_linked, text, unlinked, chat."""
     m = stored(parsed(messages), "messages")
-    m = m.withColumn("conv_id", F.coalesce("conv_id", F.lit(-(1 << 63)).cast("bigint"))).withColumn("turn", F.coalesce("turn", F.lit(-1).cast("bigint")))
+    m = m.withColumn("conv_id", F.coalesce("conv_id", F.lit(-(1 << 63)).cast("bigint"))).withColumn("turn", F.coalesce("turn", F.lit(NO_TURN).cast("bigint")))
     found = stored(links(m), "quote_links")
     origin = F.col("origin").isNotNull()
     shallow = F.struct(-F.col("level"), "origin")
@@ -106,11 +108,12 @@ def format_chat(messages: DataFrame) -> DataFrame:
     d = m.join(per, ["conv_id", "turn", "row"], "left")
     d = d.join(jumps.select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), F.col("up.turn").alias("_root")), ["conv_id", "turn"], "left")
     d = d.withColumn("root_turn", F.coalesce("_root", "turn")).withColumn("_one", F.lit(1).cast("bigint"))
-    d = stored(d.withColumn("_bucket", F.col("root_turn") * (1 << 22) + F.floor(F.col("turn") / F.lit(BUCKET_TURNS))), "trees")
+    d = stored(d.withColumn("_bucket", F.col("root_turn") * (1 << 22) + F.least(F.floor((F.col("turn") - F.col("root_turn")) / F.lit(BUCKET_TURNS)), F.lit((1 << 22) - 1))), "trees")
     ranked = running(d.select("conv_id", "turn", "row", "role", "root_turn", "_bucket", "_one", "own", "reply_to", "n_quotes", "n_linked", "_lost"), ["conv_id"], "_bucket", ["root_turn", "turn", "role", "row"], "_one", "position")
+    turn = lambda c: F.when(F.col(c) != NO_TURN, F.col(c)).alias(c)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return ranked.select(
-        F.when(F.col("conv_id") != -(1 << 63), F.col("conv_id")).alias("conv_id"), F.when(F.col("turn") >= 0, F.col("turn")).alias("turn"), "role", F.col("position").cast("bigint").alias("position"), F.when(F.col("root_turn") >= 0, F.col("root_turn")).alias("root_turn"), "reply_to",
+        F.when(F.col("conv_id") != -(1 << 63), F.col("conv_id")).alias("conv_id"), turn("turn"), "role", F.col("position").cast("bigint").alias("position"), turn("root_turn"), turn("reply_to"),
         zero("n_quotes"), zero("n_linked"), F.col("own").alias("text"), F.transform(F.coalesce("_lost", F.array().cast("array<struct<quote:int,quoted:string>>")), lambda q: q["quoted"]).alias("unlinked"),
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "own", F.lit("\n")).alias("chat"),
     )

@@ -70,3 +70,10 @@ def test_render_and_empty(talk):
 
 def test_main_path_is_native(talk):
     assert not re.search("Python|Pandas|Arrow", chat.parsed(talk)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_negative_and_null_turns_and_long_attributions(spark):
+    rows = [(1, -3, "a", "the first thing said here"), (1, -1, "b", "> the first thing said here\nanswer one"), (1, None, "c", "no turn at all"), (1, 4, "d", "On " + "x" * 900 + " wrote:\n> answer one\nlast"), (2, -1, "e", "alone")]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted(((r["conv_id"], r["position"], r["turn"], r["root_turn"], r["reply_to"], r["text"]) for r in chat.format_chat(d).collect()))
+    assert got == [(1, 0, None, None, None, "no turn at all"), (1, 1, -3, -3, None, "the first thing said here"), (1, 2, -1, -3, -3, "answer one"), (1, 3, 4, -3, -1, "last"), (2, 0, -1, -1, None, "alone")]
