@@ -7,7 +7,8 @@ All arithmetic is in BIGINT; a gap so large that its code would not fit 32 bits
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,32 +68,56 @@ def values_of(data: bytes) -> np.ndarray:
 
 def postings_of(data: bytes, fold: int = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """Gaps and frequencies of a Double-VByte byte string."""
+    return _postings(data, fold, np.zeros(0, np.int64))[:2]
+
+
+def _postings(data: bytes, fold: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gaps and frequencies, and the places of their first values among all values; ``starts``: where lists begin."""
     v = values_of(data)
-    second = np.zeros(len(v), bool)  # values that only hold a frequency
-    alone = v % fold == 0
-    for i in np.flatnonzero(alone).tolist():
-        if not second[i] and i + 1 < len(v):
-            second[i + 1] = True
-    head = np.flatnonzero(~second)
-    wide = alone[head]
+    place = np.arange(len(v))
+    begins = np.zeros(len(v), bool)
+    begins[:1] = True
+    begins[starts] = True
+    split = v % fold == 0  # the frequency has a value of its own, if this one is not itself such a value
+    after = np.concatenate([[False], split[:-1]])[: len(v)]
+    run = np.maximum.accumulate(np.where(split & (begins | ~after), place, 0))
+    wide = split & ((place - run) % 2 == 0)
+    head = np.flatnonzero(begins | ~np.concatenate([[False], wide[:-1]])[: len(v)])
     follow = v[np.minimum(head + 1, len(v) - 1)] if len(v) else v
-    return np.where(wide, v[head] // fold, 1 + v[head] // fold), np.where(wide, fold - 1 + follow, v[head] % fold)
+    return np.where(wide[head], v[head] // fold, 1 + v[head] // fold), np.where(wide[head], fold - 1 + follow, v[head] % fold), head
+
+
+def _joined(part: pa.Array) -> tuple[bytes, np.ndarray, pa.Array]:
+    """All byte strings of a batch as one, where each ends among the values, and which are null."""
+    data = b"".join(part.drop_null().to_pylist())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    values = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) < 128)])
+    return data, values[ends], pc.is_null(part)
+
+
+def _lists(ends: np.ndarray, items: pa.Array, absent: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), items, mask=absent)
 
 
 def decode_vbyte(data: Column) -> Column:
-    """VByte byte string to its values, by an Arrow function."""
+    """VByte byte string to its values, by an Arrow function over flat arrays."""
 
-    def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda x: values_of(x) if x is not None else None)
+    def run(part: pa.Array) -> pa.Array:
+        joined, ends, absent = _joined(part)
+        return _lists(ends, pa.array(values_of(joined), pa.int64()), absent)
 
-    return F.pandas_udf(run, T.ArrayType(T.LongType()))(data)
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))(data)
 
 
 def decode_double_vbyte(data: Column) -> Column:
-    """Double-VByte byte string to its postings (gap, tf), by an Arrow function."""
+    """Double-VByte byte string to its postings (gap, tf), by an Arrow function over flat arrays."""
 
-    def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda x: [{"gap": g, "tf": f} for g, f in zip(*(c.tolist() for c in postings_of(x)), strict=True)] if x is not None else None)
+    def run(part: pa.Array) -> pa.Array:
+        joined, ends, absent = _joined(part)
+        first = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        gaps, tfs, head = _postings(joined, FOLD, first[first < ends])
+        items = pa.StructArray.from_arrays([pa.array(gaps, pa.int64()), pa.array(tfs, pa.int64())], ["gap", "tf"])
+        return _lists(np.searchsorted(head, ends), items, absent)
 
     kind = T.StructType([T.StructField("gap", T.LongType()), T.StructField("tf", T.LongType())])
-    return F.pandas_udf(run, T.ArrayType(kind))(data)
+    return F.arrow_udf(run, T.ArrayType(kind))(data)

@@ -3,32 +3,33 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gaps import dgaps
+from .ranges import SPAN, carried, within
 
 
-def _lists(postings: DataFrame, value: str) -> DataFrame:
+def _lists(postings: DataFrame, value: str, span: int = SPAN) -> DataFrame:
     """(term, k, value): the length of each list at k = 0, then its values at k = 1, 2, ... in order of docid."""
-    from pyspark.sql import Window
-
-    place = Window.partitionBy("term").orderBy("docid")
-    items = postings.select("term", F.row_number().over(place).cast("bigint").alias("k"), F.col(value).cast("bigint").alias("value"))
+    place = F.row_number().over(within("docid")) + F.coalesce("_carry", F.lit(0))
+    items = carried(postings, F.count("*"), F.sum, span).select("term", place.cast("bigint").alias("k"), F.col(value).cast("bigint").alias("value"))
     counts = postings.groupBy("term").agg(F.count("*").alias("value")).select("term", F.lit(0).cast("bigint").alias("k"), "value")
     return counts.union(items)
 
 
-def docs_lists(postings: DataFrame) -> DataFrame:
+def docs_lists(postings: DataFrame, span: int = SPAN) -> DataFrame:
     """The body of ``.docs``."""
-    return _lists(postings.withColumn("_v", F.col("docid") - 1), "_v")
+    return _lists(postings.withColumn("_v", F.col("docid") - 1), "_v", span)
 
 
-def freqs_lists(postings: DataFrame) -> DataFrame:
+def freqs_lists(postings: DataFrame, span: int = SPAN) -> DataFrame:
     """The body of ``.freqs``."""
-    return _lists(postings.withColumn("_v", F.col("tf")), "_v")
+    return _lists(postings, "tf", span)
 
 
 def sizes(documents: DataFrame) -> DataFrame:
@@ -52,26 +53,31 @@ def interleaved(postings: DataFrame) -> DataFrame:
     return dgaps(postings).select("term", (F.col("docid") - 1).alias("docid"), F.when(F.col("dgap") == F.col("docid"), F.col("dgap") - 1).otherwise(F.col("dgap")).alias("dgap"), "tf")
 
 
-def _write(path: str, values: Iterable[int]) -> None:
-    with open(path, "wb") as f:
-        for v in values:
-            f.write(struct.pack("<I", v))
+def _write(path: str, rows: DataFrame, columns: list[str], mode: str = "wb") -> None:
+    """Numbers of sorted rows as little-endian 32-bit integers: tasks pack them, the driver joins the pieces in order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+
+    with open(path, mode) as f:
+        for r in rows.select(*columns).mapInArrow(pack, "data binary").toLocalIterator(prefetchPartitions=True):
+            f.write(r["data"])
 
 
 def write_canonical(documents: DataFrame, postings: DataFrame, basename: str) -> None:
     """Write ``.docs .freqs .sizes .terms .documents`` as single local files of the driver.
 
-    Spark sorts; the driver streams the sorted rows, one partition at a time, and holds none back. documents:
+    Spark sorts and packs; the driver streams the pieces, one partition at a time, and holds none back. documents:
     (docid, text_id, length).
     """
     n = documents.count()
-    order = lambda d: d.orderBy("term", "k").toLocalIterator(prefetchPartitions=True)
-    _write(f"{basename}.docs", [1, n])
-    for suffix, body in (("docs", docs_lists(postings)), ("freqs", freqs_lists(postings))):
-        with open(f"{basename}.{suffix}", "ab" if suffix == "docs" else "wb") as f:
-            for r in order(body):
-                f.write(struct.pack("<I", r["value"]))
-    _write(f"{basename}.sizes", (r["value"] for r in sizes(documents).orderBy("seq").toLocalIterator()))
+    with open(f"{basename}.docs", "wb") as f:
+        f.write(struct.pack("<II", 1, n))
+    _write(f"{basename}.docs", docs_lists(postings).orderBy("term", "k"), ["value"], "ab")
+    _write(f"{basename}.freqs", freqs_lists(postings).orderBy("term", "k"), ["value"])
+    _write(f"{basename}.sizes", sizes(documents).orderBy("seq"), ["value"])
     with open(f"{basename}.terms", "w", newline="\n") as f:
         f.writelines(r["term"] + "\n" for r in postings.select("term").distinct().orderBy("term").toLocalIterator())
     with open(f"{basename}.documents", "w", newline="\n") as f:
@@ -80,6 +86,4 @@ def write_canonical(documents: DataFrame, postings: DataFrame, basename: str) ->
 
 def write_interleaved(postings: DataFrame, basename: str) -> None:
     """Write ``.interleaved``: pairs (gap, frequency), terms in byte order, as a single local file of the driver."""
-    with open(f"{basename}.interleaved", "wb") as f:
-        for r in interleaved(postings).orderBy("term", "docid").toLocalIterator(prefetchPartitions=True):
-            f.write(struct.pack("<II", r["dgap"], r["tf"]))
+    _write(f"{basename}.interleaved", interleaved(postings).orderBy("term", "docid"), ["dgap", "tf"])

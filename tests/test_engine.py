@@ -135,6 +135,35 @@ def test_gaps(toy, built):
     assert [(r["wgap"], r["dgap"]) for r in p.collect()] == [(1, 1), (3, 1), (1, 3), (2, 3), (2, 1), (1, 1), (1, 1)]
 
 
+def test_lists_over_many_ranges(spark):
+    """Gaps, prefix sums, places and positional gaps of lists that span ranges, against plain Python."""
+    rng = random.Random(3)
+    plain = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    docs = [(t, d, [rng.randint(1, 9) for _ in range(rng.randint(1, 3))]) for t in "abcd" for d in sorted(rng.sample(range(1, 60), {"a": 40, "b": 9, "c": 1, "d": 2}[t]))]
+    p = spark.createDataFrame([(t, d, len(w)) for t, d, w in docs], "term string, docid bigint, tf bigint")
+    gap = {}
+    for t in "abcd":
+        last = 0
+        for d in sorted(d for u, d, _ in docs if u == t):
+            gap[t, d], last = d - last, d
+    want = sorted((t, d, gap[t, d]) for t, d in gap)
+    for span in (1, 4, 1 << 20):
+        g = gaps.dgaps(p, span)
+        assert g.columns == ["term", "docid", "tf", "dgap"]
+        assert plain(g, "term", "docid", "dgap") == want
+        assert plain(gaps.from_dgaps(g, span=span), "term", "docid", "tf") == plain(p, "term", "docid", "tf")
+        placed = sorted((t, k, v) for t in "abcd" for k, v in enumerate([sum(1 for u, _ in gap if u == t), *(d - 1 for u, d in sorted(gap) if u == t)]))
+        assert plain(export.docs_lists(p, span), "term", "k", "value") == placed
+        occurrences = sorted({(t, d, x) for t, d, w in docs for x in w})
+        tokens = spark.createDataFrame(occurrences, "term string, docid bigint, position int")
+        expect, before = [], (None, None, None)
+        for t, d, x in occurrences:
+            same = before[0] == t
+            expect.append((t, d, x, x - before[2] if before[:2] == (t, d) else x, d if not same else 1 if before[1] == d else d - before[1] + 1))
+            before = (t, d, x)
+        assert plain(gaps.positional_gaps(tokens, span), "term", "docid", "position", "wgap", "dgap") == expect
+
+
 CODES = [(1, 1, "01"), (1, 3, "03"), (1, 4, "0401"), (1, 5, "0402"), (32, 3, "7f"), (33, 1, "8101"), (32, 4, "800101"), (1, 130, "047f"), (1, 131, "048001"), (4096, 3, "ff7f"), (5, 200, "14c501")]
 
 
@@ -193,6 +222,45 @@ def test_layout_and_report(spark, toy, built):
     assert one["blocks"] == one["slabs"] == blocks and one["df"] == 199
 
 
+@pytest.mark.parametrize("growth", ["fixed", "triangle", "expon"])
+def test_layout_of_lists_over_many_batches(spark, growth):
+    """Slabs of long and short lists, in batches of a few rows, against a posting by posting fold."""
+    rng = random.Random(5)
+    lists = {"hot" + "x" * 50: 400, "b": 300, "c": 30, "d": 1, "e" * 44: 2, "é": 3}
+    posts = [(t, d, rng.choice([1, 1, 2, 5, 300])) for t, n in lists.items() for d in sorted(rng.sample(range(1, 9000), n))]
+    sizes, head, want = slabs.slab_sizes(growth), slabs.head_bytes(growth), []
+    for t in lists:
+        slab, room, last, link = [t, 1, sizes[0], None, None, 0, 0], 64 * sizes[0] - head - len(t.encode()), 0, 0
+        for _, d, f in [x for x in posts if x[0] == t]:
+            need = int(layout.posting_bytes(d - last, f))
+            if need > room:
+                want.append(tuple(slab))
+                need, blocks = int(layout.posting_bytes(d - link, f)), sizes[min(slab[1], 255)]
+                slab, room, link = [t, slab[1] + 1, blocks, None, d - link, 0, 0], 64 * blocks - 4, d
+            slab[3] = slab[3] or d
+            slab[5], slab[6], room, last = slab[5] + 1, slab[6] + need, room - need, d
+        want.append(tuple(slab))
+    p = spark.createDataFrame(posts, "term string, docid bigint, tf bigint")
+    names = ("term", "slab", "blocks", "first_docid", "bgap", "postings", "payload")
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = layout.slab_chain(p, growth).select(*names).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(tuple(r)[:3] + tuple(r)[5:] for r in got) == sorted(x[:3] + x[5:] for x in want)
+        assert {tuple(r) for r in got} == set(want)
+
+
+def test_decoding_many_lists(spark):
+    lists = [(0, [(1, 4), (4, 4), (1, 1)]), (1, [(4, 1), (4, 7), (8, 8)]), (2, [(1, 4)]), (3, [(2, 4), (2, 4), (2, 4), (2, 3)])]
+    d = spark.createDataFrame([(i, j, g, f) for i, l in lists for j, (g, f) in enumerate(l)], "i int, j int, g bigint, f bigint")
+    d = d.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", codec.double_vbyte(F.col("g"), F.col("f")).alias("code")))).alias("l"))
+    d = d.select("i", F.unhex(F.array_join(F.transform("l", lambda x: F.hex(x["code"])), "")).alias("data"))
+    d = d.union(spark.sql("SELECT 4, CAST(NULL AS BINARY)")).union(spark.sql("SELECT 5, X''")).coalesce(1)
+    got = {r["i"]: r["back"] for r in d.select("i", codec.decode_double_vbyte(F.col("data")).alias("back")).collect()}
+    assert {i: [tuple(x) for x in got[i]] for i, _ in lists} == dict(lists) and got[4] is None and got[5] == []
+    assert [len(r[0]) if r[0] is not None else None for r in d.orderBy("i").select(codec.decode_vbyte(F.col("data"))).collect()] == [5, 5, 2, 7, None, 0]
+
+
 @pytest.mark.parametrize("sf, growth, blocks, payload, chain", [("0.001", "fixed", 27_873, 86_538, 4), ("0.001", "triangle", 27_880, 86_545, 4), ("0.001", "expon", 27_880, 86_545, 4)])
 def test_layout_goldens(spark, sf, growth, blocks, payload, chain):
     p = index.postings(docstream.from_table(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")))
