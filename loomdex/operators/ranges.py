@@ -23,7 +23,8 @@ def carried(rows: DataFrame, of_range: Column, over: Callable[[str], Column], sp
     """
     rows = rows.withColumn("_range", F.floor((F.col(at) - 1) / span))
     earlier = Window.partitionBy("term").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("term", "_range").agg(of_range.alias("_of"))
+    # _last reads every column, so that no column is pruned here and both sides of the join read one and the same shuffle
+    ranges = rows.groupBy("term", "_range").agg(of_range.alias("_of"), F.max(F.struct(at, *rows.columns)).alias("_last")).where("_last IS NOT NULL")
     ranges = ranges.select("term", "_range", over("_of").over(earlier).alias("_carry")).where("_carry IS NOT NULL")
     return rows.join(ranges, ["term", "_range"], "left")
 
