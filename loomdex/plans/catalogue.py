@@ -427,12 +427,75 @@ def stream_postings(spark, sf_dir):
 
 @query
 def stream_df(spark, sf_dir):
-    """Document frequencies from the batches of a stream."""
+    """Document frequencies kept in the state of a stream."""
     from ..streaming import ingest
 
     path = _folder(spark)
-    ingest.start(_streamed(spark, sf_dir), f"{path}/store", f"{path}/checkpoint", numbered=True).awaitTermination()
-    return ingest.live_index(spark, f"{path}/store").lexicon.select("term", "df")
+    ingest.start_df(_streamed(spark, sf_dir), f"{path}/df", f"{path}/checkpoint").awaitTermination()
+    return ingest.read_df(spark, f"{path}/df")
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of docstream files in order of doc_id: the id, then the words, one document for each line."""
+    path = f"{_folder(spark)}/text"
+    d = _documents(spark, sf_dir).orderBy("docid")
+    d.select(F.concat_ws(" ", F.array("text_id"), "tokens").alias("value")).write.text(path)
+    return path
+
+
+def _ingested_text(spark: SparkSession, sf_dir: str) -> str:
+    """A store filled from text files by a stream that numbers the lines itself."""
+    from ..streaming import ingest
+
+    text, path = _text_files(spark, sf_dir), _folder(spark)
+    ingest.start(ingest.docstream(spark, text), f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/store"
+
+
+@query
+def stream_text_postings(spark, sf_dir):
+    """Postings of text files after a stream has numbered and ingested their lines."""
+    from ..streaming import ingest
+
+    return ingest.live_index(spark, _ingested_text(spark, sf_dir)).postings
+
+
+@query
+def stream_totals(spark, sf_dir):
+    """Documents, postings and words that a stream counted as it ingested text files."""
+    from ..streaming import ingest
+
+    return ingest.totals(spark, _ingested_text(spark, sf_dir))
+
+
+@query
+def docstream_file(spark, sf_dir):
+    """Number, id and length of each document of text files; the id is no term."""
+    d = docstream.read_docstream(spark, _text_files(spark, sf_dir))
+    return d.select("docid", "text_id", F.size("tokens").cast("bigint").alias("length"))
+
+
+@query
+def query_file(spark, sf_dir):
+    """Number, id and distinct terms of each line of a query file, as many as there are benchmark items."""
+    path = f"{_folder(spark)}/queries"
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id")
+    items.select(F.concat_ws(" ", F.array(F.col("item_id").cast("string")), docstream.tokenize(F.col("text"))).alias("value")).write.text(path)
+    return lookup.explode_terms(docstream.read_queries(spark, path))
+
+
+@query
+def run_log(spark, sf_dir):
+    """Queries with a match and their matches."""
+    return workload.run_log(boolean.and_count(_benchmark(spark, sf_dir), _index(spark, sf_dir)))
+
+
+@query
+def termid_buckets(spark, sf_dir):
+    """Documents in each of 64 buckets of numeric ids."""
+    from ..functions.text import termid_bucket
+
+    return _documents(spark, sf_dir).groupBy(termid_bucket(F.col("docid"), 64).alias("bucket")).agg(F.count("*").alias("ids"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,4 +187,10 @@ SELECT *, vocabulary * 8 + blocks * 64 AS total_bytes, round((vocabulary * 8 + b
     "append_invariance": f"WITH {LX} SELECT * FROM lx",
     "stream_postings": f"WITH {PO} SELECT * FROM po",
     "stream_df": f"WITH {LX} SELECT term, df FROM lx",
+    "stream_text_postings": f"WITH {_tokens(docid='row_number() OVER (ORDER BY doc_id)')} SELECT term, docid, count(*) AS tf FROM tok GROUP BY term, docid",
+    "stream_totals": f"WITH {TOK} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM (SELECT DISTINCT docid, term FROM tok)) AS postings, (SELECT count(*) FROM tok) AS words",
+    "docstream_file": f"SELECT row_number() OVER (ORDER BY doc_id) AS docid, doc_id::VARCHAR AS text_id, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS length FROM documents",
+    "query_file": f"SELECT DISTINCT query_ord, qid, unnest(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS term FROM (SELECT row_number() OVER (ORDER BY item_id) AS query_ord, item_id::VARCHAR AS qid, text FROM benchmark)",
+    "run_log": f"{_hits(True)} SELECT query_ord, qid, count(*) AS matches FROM ands GROUP BY query_ord, qid",
+    "termid_buckets": "SELECT (doc_id + 1) % 64 AS bucket, count(*) AS ids FROM documents GROUP BY 1",
 }

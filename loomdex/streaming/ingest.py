@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import body, external_id, tokenize
-from ..operators.index import Index, build
+from ..operators.index import Index, doc_stats, lexicon, postings
+from ..operators.workload import with_totals
 
-_LEDGER = "batch_id bigint, base bigint, n bigint"
+_LEDGER = "batch_id bigint, base bigint, n bigint, postings bigint, words bigint"
 
 
 def docstream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -52,11 +53,15 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, numbered: bool = Fal
         earlier = _ledger(spark, path).where(F.col("batch_id") < batch_id).agg(F.max(F.col("base") + F.col("n")).alias("top")).first()["top"]
         base = earlier or 0
         docs = batch if numbered else _numbered(batch, base)
-        index = build(docs)
-        for name, df in (("documents", index.documents), ("postings", index.postings), ("lexicon", index.lexicon)):
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
-        n = batch.count()
-        spark.createDataFrame([(batch_id, base, n)], _LEDGER).write.mode("overwrite").parquet(f"{path}/ledger/batch_id={batch_id}")
+        # documents and their totals in one pass; postings once, and the lexicon from what was written
+        stats, totals = with_totals(doc_stats(docs), f"batch-{batch_id}")
+        stats.write.mode("overwrite").parquet(f"{path}/documents/batch_id={batch_id}")
+        postings(docs).write.mode("overwrite").parquet(f"{path}/postings/batch_id={batch_id}")
+        written = spark.read.parquet(f"{path}/postings/batch_id={batch_id}")
+        lexicon(written).write.mode("overwrite").parquet(f"{path}/lexicon/batch_id={batch_id}")
+        seen = totals.get
+        entry = (batch_id, base, seen["documents"], seen["postings"] or 0, seen["words"] or 0)
+        spark.createDataFrame([entry], _LEDGER).write.mode("overwrite").parquet(f"{path}/ledger/batch_id={batch_id}")
     finally:
         batch.unpersist()
 
@@ -85,6 +90,12 @@ def live_index(spark: SparkSession, path: str) -> Index:
     return Index(part("documents"), part("postings"), lexicon)
 
 
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """One row: documents, postings, words of all committed batches, from the ledger alone."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return _ledger(spark, path).agg(total("n", "documents"), total("postings", "postings"), total("words", "words"))
+
+
 def compact_lexicon(spark: SparkSession, path: str, to: str) -> None:
     """Write the summed lexicon of all batches to another folder."""
     live_index(spark, path).lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(to)
@@ -93,3 +104,18 @@ def compact_lexicon(spark: SparkSession, path: str, to: str) -> None:
 def running_df(stream: DataFrame) -> DataFrame:
     """(term, df) over a stream of (docid, text_id, tokens), kept in the state store, one key for a term."""
     return stream.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def start_df(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep ``running_df`` of a stream at ``path``: each batch writes the terms whose number changed, a replay the same ones."""
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = running_df(stream).writeStream.outputMode("update").foreachBatch(write)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_df(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df) of ``start_df``; a term's number only grows, so its largest is its last."""
+    return spark.read.schema("term string, df bigint").parquet(path).groupBy("term").agg(F.max("df").alias("df"))
