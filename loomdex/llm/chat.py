@@ -9,13 +9,15 @@ ordered by the turn of the first message of a reply tree and, within the tree, b
 
 Defined results: a null text is empty; a message without a linked quote begins a tree of its own, so a conversation
 without quotes keeps its turns in order; quotes without an original are removed too, and listed in ``unlinked``; lines
-such as "On ... wrote:" before a quote go with it; repeated rows (same conversation and turn) are ordered by role and
-text; turns may be negative; a null conversation is one of its own, a null turn comes first, a null role is ``unknown``; an empty table gives
+such as "On ... wrote:" before a quote go with it; rows that share a turn share its root and are ordered by role and
+text; repeated rows get equal results; a message of many lines takes linear time; other columns may have any name; turns may be negative; a null conversation is one of its own, a null turn comes first, a null role is ``unknown``; an empty table gives
 no rows. Joins are salted and ranks run over buckets, so a conversation of any length is dealt over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +36,27 @@ def normalised(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often lambdas in it look at it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def runs_of(text: Column) -> Column:
-    """Runs of lines of one level: array of (level, text)."""
+    """Runs of lines of one level: array of (level, text). Each line is copied once, so the time is linear in a message."""
     kind = "array<struct<level:int,text:string>>"
     level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), "[^>]", ""))
     body = lambda line: F.regexp_replace(line, _MARKS + " ?", "")
-
-    def step(acc: Column, line: Column) -> Column:
-        last, n = F.try_element_at(acc, F.lit(-1)), F.size(acc)
-        longer = F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), body(line)).alias("text"))
-        fresh = F.struct(level(line).alias("level"), body(line).alias("text"))
-        return F.when((n > 0) & (last["level"] == level(line)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), n - 1)), F.array(longer))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
-
     plain = F.array(F.struct(F.lit(0).alias("level"), text.alias("text"))).cast(kind)
     quoted = text.rlike(r"(?m)^[ \t]*>")
-    lines = F.split(F.regexp_replace(text, _ATTRIBUTION, ""), "\n", -1)
-    return F.when(quoted, F.aggregate(lines, F.array().cast(kind), step)).otherwise(plain)
+    split = F.transform(F.split(F.regexp_replace(text, _ATTRIBUTION, ""), "\n", -1), lambda line: F.struct(level(line).alias("level"), body(line).alias("text")))
+    begins = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+
+    def run(lines: Column, at: Column, begin: Column, k: Column) -> Column:
+        own = F.slice(lines, begin + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - begin)
+        return F.struct(F.get(lines, begin)["level"].alias("level"), F.array_join(F.transform(own, lambda line: line["text"]), "\n").alias("text"))
+
+    runs = _once(split, lambda lines: _once(begins(lines), lambda at: F.transform(at, lambda begin, k: run(lines, at, begin, k))))
+    return F.when(quoted, runs.cast(kind)).otherwise(plain)
 
 
 def _units(text: Column) -> Column:
@@ -68,13 +75,13 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 def links(messages: DataFrame) -> DataFrame:
     """One row per quote: conv_id, turn, row, quote (its number), level, quoted text, and origin, the turn it comes from or null."""
-    quotes = messages.where(F.size("quotes") > 0).select("conv_id", "turn", "row", F.posexplode("quotes").alias("quote", "q"))
+    quotes = messages.where(F.size("quotes") > 0).dropDuplicates(["conv_id", "turn", "row"]).select("conv_id", "turn", "row", F.posexplode("quotes").alias("quote", "q"))
     quotes = quotes.select("conv_id", "turn", "row", "quote", F.col("q.level").alias("level"), F.col("q.text").alias("quoted"))
     key = F.struct("conv_id", "unit").alias("key")
     asked = quotes.select("conv_id", "turn", "row", "quote", F.posexplode(_units(F.col("quoted"))).alias("n", "unit"))
     asked = asked.select("conv_id", "turn", "row", "quote", (F.col("n") == 0).alias("whole"), key)
-    there = quotes.select("conv_id").distinct()
-    texts = messages.join(there, "conv_id", "left_semi").where(normalised(F.col("own")) != "")
+    there = quotes.select("conv_id").distinct().withColumn("_quoted", F.lit(True))
+    texts = salted_lookup(messages.where(normalised(F.col("own")) != ""), there, "conv_id", "turn").where("_quoted")
     first = texts.select("conv_id", "turn", F.explode(F.array_distinct(_units(F.col("own")))).alias("unit")).groupBy(key).agg(F.min("turn").alias("origin"))
     met = salted_lookup(asked, first, "key", "turn").where("origin < turn")
     held = met.groupBy("conv_id", "turn", "row", "quote", "origin").agg(F.max("whole").alias("whole"), F.count("*").alias("lines"))
