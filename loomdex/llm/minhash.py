@@ -155,12 +155,12 @@ def near_pairs(docs: DataFrame, threshold: float = 0.75, bands: int = BANDS, blo
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                cls = [ids.view(np.int64) for _, _, ids, _ in _sets(part.column(1))]
+                cls = [ids.view(np.int64) for _, _, ids, _, _ in _sets(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate(cls)), pa.array([_hex(r) for r in signatures(part.column(1))], pa.string())], ["doc_id", "cls", "fingerprint"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, ids, found in _sets(batch.column(0)):
+            for _, _, ids, _, found in _sets(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["cls", "toks"])
 
     texts = needs(docs, doc_id="bigint", text="string").select("doc_id", text_of().alias("text")).where("doc_id is not null")

@@ -18,8 +18,9 @@ join is whole: it rests on bounds that no linked pair fails, never on caps; chan
 
 Shingles are known by hashes of 64 bits and tokens by the first 48 of them: a pair of documents of 500 words sees a false
 common token once in a billion pairs, which can only turn a pair at the very edge of the threshold. Classes are known by
-64-bit sums of hashed shingles: among n different sets a false merge is expected n * n / 2^65 times, once among six
-billion and hence a few times at 10^10; it is not looked for.
+64-bit sums of hashed shingles, and a second sum, independent of the first, checks them: different sets with the same
+first sum (n * n / 2^65 of them among n sets, three at 10^10) get identifiers made of both, so that only sets that agree
+in 128 bits are ever taken for one.
 
 Buckets hold about ``BUCKET_TOKENS`` tokens and blocks about ``BLOCK_TOKENS``, however large the input, so the memory of a
 task does not follow it. Very long texts are hashed a block at a time and their sets sorted whole, eight bytes a word.
@@ -50,8 +51,11 @@ FREQUENT = (1 << 31) - 1
 LEADER_ROUNDS = 2
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(first row, set sizes, class ids, sets) block by block; class 0 stands for an empty set."""
+def _sets(column: pa.Array, split: np.ndarray | None = None, bits: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(first row, set sizes, class ids, checks, sets) block by block; class 0 stands for an empty set.
+
+    split: the ids that different sets share, told apart by their checks; bits: how many an id has, fewer in tests only.
+    """
     for lo, _, counts, hashes in words(column):
         many, every = shingles(counts, hashes)
         ends = np.cumsum(many)
@@ -59,28 +63,40 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[
         n = np.array([len(s) for s in sets], np.int64)
         with np.errstate(over="ignore"):
             flat = mix(np.concatenate(sets)) if len(sets) else np.zeros(0, np.uint64)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat)])
             ends = np.cumsum(n)
-            ids = mix(sums[ends] - sums[ends - n] + n.astype(np.uint64))
+            whole = lambda flat: (s := np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat)]))[ends] - s[ends - n]
+            ids, checks = mix(whole(flat) + n.astype(np.uint64)) >> np.uint64(64 - bits), mix(whole(mix(flat)) + n.astype(np.uint64))
+            if split is not None and len(split):
+                shared = np.isin(ids, split)
+                ids[shared] = mix(ids[shared] ^ checks[shared])
         ids[n == 0] = 0
-        yield lo, n, ids, sets
+        yield lo, n, ids, checks, sets
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and cls, the same for documents with the same set; null for an empty one."""
+def classes(docs: DataFrame, split: np.ndarray | None = None, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, cls, the same for documents with the same set and null for an empty one, and chk, its check."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids = [], []
-            for _, size, cls, _ in _sets(batch.column(1)):
-                n.append(size)
-                ids.append(cls)
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            ids = np.concatenate(ids).view(np.int64) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, mask=n == 0)], ["doc_id", "n_shingles", "cls"])
+            parts = [(n, ids, checks) for _, n, ids, checks, _ in _sets(batch.column(1), split, bits)]
+            n, ids, checks = (np.concatenate([p[k] for p in parts]).view(np.int64) if parts else np.zeros(0, np.int64) for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, mask=n == 0), pa.array(checks)], ["doc_id", "n_shingles", "cls", "chk"])
         release()
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint, chk bigint")
+
+
+def _counted(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The documents with their classes, the classes with their first id and copies, and the ids that had to be split."""
+    split = np.zeros(0, np.uint64)
+    while True:
+        rows = stored(classes(docs, split, bits), "classes")
+        first = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("chk").alias("_c0"), F.max("chk").alias("_c1"))
+        first = stored(first, "copies")
+        shared = [r["cls"] for r in first.where("_c0 <> _c1").select("cls").collect()]  # none, or a few that chance made
+        if not shared or len(split):
+            return rows, first.select("cls", "first", "copies"), split
+        split = np.array(shared, np.int64).view(np.uint64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -199,7 +215,7 @@ def _merged(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, np.ndar
             yield int(ids[lo : lo + 1].view(np.int64)[0]), int(sizes[lo]), tokens[lo:hi].view(np.int64)
 
 
-def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH, share: int = FREQUENT_SHARE, least: int = FREQUENT_LEAST, tokens: int = 0, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH, share: int = FREQUENT_SHARE, least: int = FREQUENT_LEAST, tokens: int = 0, bucket_tokens: int = BUCKET_TOKENS, split: np.ndarray | None = None, bits: int = 64) -> DataFrame:
     """cls, n, toks: the classes that can have a partner, with their shared tokens from rare to frequent.
 
     tokens: how many shingles there are; there are as many buckets as keep each at ``bucket_tokens``.
@@ -220,7 +236,7 @@ def surviving_sets(docs: DataFrame, percent: int = PERCENT, flush: int = FLUSH,
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACK, strict=True)], schema=_PACK)
 
         for batch in batches:
-            for _, _, ids, sets in _sets(batch.column(1)):
+            for _, _, ids, _, sets in _sets(batch.column(1), split, bits):
                 for cls, tokens in zip(ids.tolist(), sets, strict=True):
                     if len(tokens) and cls not in held:
                         held[cls] = tokens
@@ -327,7 +343,7 @@ def links(sets: DataFrame, percent: int = PERCENT, block_members: int = BLOCK_ME
     return found.union(stored(across, "across"))
 
 
-def near_components(docs: DataFrame, percent: int = PERCENT, **options) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = PERCENT, bits: int = 64, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set) and component_id, the least doc_id that links reach.
 
     Defined results: a document without words (null, empty or white space) has an empty set and links with nothing, not
@@ -337,16 +353,15 @@ def near_components(docs: DataFrame, percent: int = PERCENT, **options) -> DataF
     are ignored, whatever their names.
     """
     knobs = {k: options.pop(k) for k in ("flush", "share", "least", "bucket_tokens") if k in options}
-    rows = stored(classes(docs), "classes")
+    rows, first, split = _counted(docs, bits)
     tokens = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    sets = stored(surviving_sets(docs, percent, tokens=tokens, **knobs), "sets")
+    sets = stored(surviving_sets(docs, percent, tokens=tokens, split=split, bits=bits, **knobs), "sets")
     edges = stored(links(sets, percent, **options), "all_links")
     labels = components(edges).select(F.col("node").alias("cls"), "label")
-    first = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     first = first.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     ids = first.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     by_class = salted_lookup(first.select("cls", "label"), ids.select("label", "component_id"), "label", "cls").where("component_id is not null")
-    out = salted_lookup(rows, by_class.select("cls", "component_id"), "cls", "doc_id")
+    out = salted_lookup(rows.drop("chk"), by_class.select("cls", "component_id"), "cls", "doc_id")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

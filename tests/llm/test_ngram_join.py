@@ -65,6 +65,13 @@ def test_edited_families_with_small_packs(spark, seed):
     assert rows_of(got) == brute(rows)
 
 
+def test_class_ids_that_different_sets_share(sample, docs):
+    """With ids of four bits nearly every class shares its id with others; the checks tell them apart."""
+    d = sample.select("doc_id", "text").union(docs.where("doc_id is not null").select("doc_id", "text"))
+    assert len(j._counted(d, 4)[2]) > 10
+    assert rows_of(j.near_components(d, bits=4)) == brute([(r["doc_id"], r["text"]) for r in d.collect()])
+
+
 def test_hot_near_copies(spark):
     base = [f"w{k}" for k in range(80)]
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(300) for k in [i % 80]]
