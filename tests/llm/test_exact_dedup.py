@@ -31,6 +31,7 @@ def test_edges(docs):
 def test_sample_and_colliding_identifiers(sample):
     want = brute([(r["doc_id"], r["text"]) for r in sample.collect()])
     assert rows_of(e.exact_duplicates(sample)) == want
+    assert e.verified(sample.select(e.normalised().alias("_norm")), e.IDENTIFIERS[0])  # md5, once for each chunk
     few = [lambda c: F.pmod(F.xxhash64(c), F.lit(5)), lambda c: c]
     assert not e.verified(sample.select(e.normalised().alias("_norm")), few[0])
     assert rows_of(e.exact_duplicates(sample, few)) == want
