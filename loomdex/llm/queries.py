@@ -84,8 +84,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crosstok import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op5_chat, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op5_chat, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe, op13_crosstok)}
 
 
 OP2_SQL = r"""
