@@ -84,6 +84,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hardneg import mine
+
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crosstok import align
 
@@ -91,7 +97,7 @@ def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op5_chat, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe, op13_crosstok)}
+    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op5_chat, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe, op12_hardneg, op13_crosstok)}
 
 
 OP2_SQL = r"""
@@ -194,5 +200,25 @@ FROM o
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM d a JOIN d b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+p AS (
+  SELECT anchor, id AS positive_id, row AS positive, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST) <= 5),
+n AS (
+  SELECT s.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY s.anchor, p.positive ORDER BY s.score DESC, s.id NULLS LAST) AS rank
+  FROM s JOIN p USING (anchor) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL, "op12_hardneg": OP12_SQL}
