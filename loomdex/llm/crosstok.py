@@ -42,7 +42,9 @@ from .common import stored
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 #: Code points that are worked on together; a longer text is a chunk of its own.
-CHUNK = 1 << 23
+CHUNK = 1 << 21
+#: Texts that the piece model takes at a time.
+AT_ONCE = 64
 #: Code points from which a text is cut for the piece model.
 LONG = 1 << 16
 _SPACE = "▁"
@@ -117,12 +119,16 @@ def piece_cuts(text: str, size: int = LONG) -> list[str]:
 def encoded(texts: list[str], a: bytes, b: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of each text on either side; none where a side does not spell space and text."""
     coder, left, (model, right, safe) = *byte_level(a), pieces(b)
-    parts = [piece_cuts(t) if safe else [t] for t in texts]
-    found = iter(model.encode([p for x in parts for p in x], num_threads=1))
+
+    def pieced() -> Iterator[np.ndarray]:
+        for lo in range(0, len(texts), AT_ONCE):
+            parts = [piece_cuts(t) if safe else [t] for t in texts[lo : lo + AT_ONCE]]
+            found = iter(model.encode([p for x in parts for p in x], num_threads=1))
+            for part in parts:
+                yield np.concatenate([np.array(next(found), np.int64) for _ in part])
+
     ids_a, ids_b, none = [], [], np.zeros(0, np.int64)
-    for text, part in zip(texts, parts, strict=True):
-        mine = [next(found) for _ in part]
-        y = np.array(mine[0] if len(mine) == 1 else [i for x in mine for i in x], np.int64)
+    for text, y in zip(texts, pieced(), strict=True):
         said = f" {text}".encode("utf-8", "replace")
         spells = lambda side, ids: side.spelt.take(pa.array(ids)).buffers()[2].to_pybytes() == said
         if not text or left.length.size == 0 or right.length[y].sum() != len(said) or not spells(right, y):
@@ -220,7 +226,7 @@ def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = byte_level(file_a.value)[1], pieces(file_b.value)[1]
-        for ids, texts in _chunks(batches, CHUNK >> 3):
+        for ids, texts in _chunks(batches):
             x = overlaps(*encoded(texts, file_a.value, file_b.value), left.length, right.length)
             base = np.repeat(np.concatenate([[0], x.ends_a])[x.first_a[:-1]], np.diff(x.first_group))
             starts = np.concatenate([[0], x.shared])[:-1]
