@@ -84,6 +84,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hardneg import mine
 
@@ -97,7 +103,7 @@ def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op5_chat, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe, op12_hardneg, op13_crosstok)}
+    return {f.__name__: f for f in (op1_minhash, op2_exact_dedup, op3_pii, op4_ngram_join, op5_chat, op6_sharding, op7_toxicity, op8_mixing, op9_langid, op10_bpe, op11_htmltext, op12_hardneg, op13_crosstok)}
 
 
 OP2_SQL = r"""
@@ -200,12 +206,23 @@ FROM o
 """
 
 
+# the article of these pages is an element of that name, without parts to leave out
+OP11_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS b FROM a),
+t AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
 OP12_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
   FROM d a JOIN d b ON a.vec_id % 100 = 0 AND a.row <> b.row),
@@ -221,4 +238,4 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL, "op12_hardneg": OP12_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL, "op11_htmltext": OP11_SQL, "op12_hardneg": OP12_SQL}
