@@ -10,26 +10,27 @@ ordered by the turn of the first message of a reply tree and, within the tree, b
 Defined results: a null text is empty; a message without a linked quote begins a tree of its own, so a conversation
 without quotes keeps its turns in order; quotes without an original are removed too, and listed in ``unlinked``; lines
 such as "On ... wrote:" before a quote go with it; rows that share a turn share its root and are ordered by role and
-text; repeated rows get equal results; a message of many lines takes linear time; other columns may have any name; turns may be negative; a null conversation is one of its own, a null turn comes first, a null role is ``unknown``; an empty table gives
-no rows. Joins are salted and ranks run over buckets, so a conversation of any length is dealt over many tasks.
+text; repeated rows get equal results but for their positions; messages of many lines, deep quotes and any number of
+blank lines take linear time; other columns may have any name; a turn or conversation is any BIGINT; a null conversation
+is one of its own, a null turn comes first and is no other turn's, a null role is ``unknown``; an empty table gives no
+rows. Joins are salted and positions come from ranges of the order, so a conversation of any length is dealt over many
+tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import needs, salted_lookup, stored, text_of
-from .ordering import running
 
-_MARKS = r"^((?:[ \t]*>)+)"
-_ATTRIBUTION = r"(?im)^(?:on .+ wrote:|-{2,} ?original message ?-{2,})[ \t]*\n?(?=(?:[ \t]*\n)*[ \t]*>)"
-#: Turns of a bucket when messages are ranked.
-BUCKET_TURNS = 1024
-#: Stands for a missing turn inside; turns lie within 2^40 of 0.
-NO_TURN = -(1 << 40)
+# possessive, so that Java matches repeated groups in a loop: as many signs or blank lines as there are, in linear time
+_MARKS = r"^((?:[ \t]*+>)++)"
+_ATTRIBUTION = r"(?imd)^(?:on .+ wrote:|-{2,} ?original message ?-{2,})[ \t]*+\n?+(?=(?:[ \t]*+\n)*+[ \t]*+>)"
+#: Stands for a missing conversation or turn inside, where both are decimals of 20 digits: one below every BIGINT.
+NONE = -(1 << 63) - 1
 
 
 def normalised(text: Column) -> Column:
@@ -69,7 +70,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     """conv, turn, role, row (a hash that tells repeated rows apart), own text and quotes: array of (level, text)."""
     d = needs(messages, conv_id="bigint", turn="bigint", role="string", text="string").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), runs_of(text_of()).alias("_runs"), F.xxhash64("role", "text").alias("row"))
     own = F.array_join(F.transform(F.filter("_runs", lambda r: r["level"] == 0), lambda r: r["text"]), "\n")
-    said = F.when(F.size("_runs") > 1, F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^[ \t\n]+|[ \t\n]+$", "")).otherwise(own)
+    said = F.when(F.size("_runs") > 1, F.btrim(F.regexp_replace(own, r"\n{3,}", "\n\n"), F.lit(" \t\n"))).otherwise(own)
     return d.select("conv_id", "turn", "role", "row", said.alias("own"), F.filter("_runs", lambda r: (r["level"] > 0) & (normalised(r["text"]) != "")).alias("quotes"))
 
 
@@ -81,7 +82,7 @@ def links(messages: DataFrame) -> DataFrame:
     asked = quotes.select("conv_id", "turn", "row", "quote", F.posexplode(_units(F.col("quoted"))).alias("n", "unit"))
     asked = asked.select("conv_id", "turn", "row", "quote", (F.col("n") == 0).alias("whole"), key)
     there = quotes.select("conv_id").distinct().withColumn("_quoted", F.lit(True))
-    texts = salted_lookup(messages.where(normalised(F.col("own")) != ""), there, "conv_id", "turn").where("_quoted")
+    texts = salted_lookup(messages.where(normalised(F.col("own")) != ""), there, "conv_id", "row").where("_quoted")
     first = texts.select("conv_id", "turn", F.explode(F.array_distinct(_units(F.col("own")))).alias("unit")).groupBy(key).agg(F.min("turn").alias("origin"))
     met = salted_lookup(asked, first, "key", "turn").where("origin < turn")
     held = met.groupBy("conv_id", "turn", "row", "quote", "origin").agg(F.max("whole").alias("whole"), F.count("*").alias("lines"))
@@ -89,10 +90,26 @@ def links(messages: DataFrame) -> DataFrame:
     return quotes.join(best, ["conv_id", "turn", "row", "quote"], "left")
 
 
+def _positions(d: DataFrame) -> DataFrame:
+    """Add ``position``, a message's place in its conversation, from 0.
+
+    The rows are cut into ranges of their order, so a conversation of any length, whatever its turns, is as many ranges
+    as its size asks for, and copies are told apart by where they are stored. A range counts on from the ones before.
+    """
+    order = ["conv_id", "root_turn", "turn", "role", "row", "_copy"]
+    cut = d.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    cut = stored(cut, "ranges")
+    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("conv_id", "_range").agg(F.count("*").alias("_n")).select("conv_id", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("conv_id", "_range").orderBy(*order)
+    return cut.withColumn("_place", F.row_number().over(own)).join(counts, ["conv_id", "_range"]).withColumn("position", F.col("_before") + F.col("_place") - 1)
+
+
 def format_chat(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, position, root_turn, reply_to, n_quotes, n_linked, text, unlinked, chat."""
     m = stored(parsed(messages), "messages")
-    m = m.withColumn("conv_id", F.coalesce("conv_id", F.lit(-(1 << 63)).cast("bigint"))).withColumn("turn", F.coalesce("turn", F.lit(NO_TURN).cast("bigint")))
+    whole = lambda c: F.coalesce(F.col(c).cast("decimal(20,0)"), F.lit(str(NONE)).cast("decimal(20,0)"))
+    m = m.withColumns({"conv_id": whole("conv_id"), "turn": whole("turn")})
     found = stored(links(m), "quote_links")
     origin = F.col("origin").isNotNull()
     shallow = F.struct(-F.col("level"), "origin")
@@ -114,13 +131,12 @@ def format_chat(messages: DataFrame) -> DataFrame:
             break
     d = m.join(per, ["conv_id", "turn", "row"], "left")
     d = d.join(jumps.select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), F.col("up.turn").alias("_root")), ["conv_id", "turn"], "left")
-    d = d.withColumn("root_turn", F.coalesce("_root", "turn")).withColumn("_one", F.lit(1).cast("bigint"))
-    d = stored(d.withColumn("_bucket", F.col("root_turn") * (1 << 22) + F.least(F.floor((F.col("turn") - F.col("root_turn")) / F.lit(BUCKET_TURNS)), F.lit((1 << 22) - 1))), "trees")
-    ranked = running(d.select("conv_id", "turn", "row", "role", "root_turn", "_bucket", "_one", "own", "reply_to", "n_quotes", "n_linked", "_lost"), ["conv_id"], "_bucket", ["root_turn", "turn", "role", "row"], "_one", "position")
-    turn = lambda c: F.when(F.col(c) != NO_TURN, F.col(c)).alias(c)
+    d = d.withColumn("root_turn", F.coalesce("_root", "turn"))
+    ranked = _positions(stored(d.select("conv_id", "turn", "row", "role", "root_turn", "own", "reply_to", "n_quotes", "n_linked", "_lost"), "trees"))
+    shown = lambda c: F.when(F.col(c) != F.lit(str(NONE)).cast("decimal(20,0)"), F.col(c).cast("bigint")).alias(c)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return ranked.select(
-        F.when(F.col("conv_id") != -(1 << 63), F.col("conv_id")).alias("conv_id"), turn("turn"), "role", F.col("position").cast("bigint").alias("position"), turn("root_turn"), turn("reply_to"),
+        shown("conv_id"), shown("turn"), "role", F.col("position").cast("bigint").alias("position"), shown("root_turn"), shown("reply_to"),
         zero("n_quotes"), zero("n_linked"), F.col("own").alias("text"), F.transform(F.coalesce("_lost", F.array().cast("array<struct<quote:int,quoted:string>>")), lambda q: q["quoted"]).alias("unlinked"),
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "own", F.lit("\n")).alias("chat"),
     )

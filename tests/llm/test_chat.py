@@ -80,7 +80,7 @@ def test_negative_and_null_turns_and_long_attributions(spark):
     assert got == [(1, 0, None, None, None, "no turn at all"), (1, 1, -3, -3, None, "the first thing said here"), (1, 2, -1, -3, -3, "answer one"), (1, 3, 4, -3, -1, "last"), (2, 0, -1, -1, None, "alone")]
 
 
-LOW = -(1 << 40)
+LOW = -(1 << 63) - 1
 
 
 def plain(text):
@@ -197,3 +197,33 @@ def test_message_of_many_lines(spark):
     d = spark.createDataFrame([(1, 0, "user", text)], "conv_id bigint, turn bigint, role string, text string")
     r = chat.parsed(d).select(F.size("quotes").alias("n"), F.length("own").alias("own")).first()
     assert r["n"] == 100_000 and r["own"] == len("\n".join(f"answer {k}" for k in range(100_000)))
+
+
+NAMES = ("conv_id", "position", "turn", "role", "root_turn", "reply_to", "n_quotes", "n_linked", "text", "unlinked")
+MANY = 1_000_000
+
+
+def formatted(spark, rows):
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    return sorted((tuple(r[n] for n in NAMES) for r in chat.format_chat(d).collect()), key=str)
+
+
+def test_any_turn_and_conversation(spark):
+    """Turns and conversations at both ends of BIGINT, microseconds, missing ones in numbers, and turns that only look missing."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(c, t, "u", f"said at {t}" if t != high else f"> said at {low}\nend") for c in (low, high, None, 0) for t in (low, -(1 << 40), 0, 1 << 42, 1_700_000_000_000_000, high)]
+    rows += [(0, None, f"u{k:02}", f"no turn {k}") for k in range(40)] + [(0, None, "u", "> said at 0\nno turn")] + [(low, None, "u", "same")] * 20
+    assert formatted(spark, rows) == brute(rows)
+
+
+def test_deep_quotes_and_blank_lines(spark):
+    """A million signs in a line, and a million blank lines after an attribution, with and without a quote after them."""
+    rows = [
+        (1, 0, "u", "the first words"),
+        (1, 1, "u", ">" * MANY + " the first words\nown"),
+        (1, 2, "u", "On Monday Bob wrote:\n" + "\n" * MANY + "> the first words\nown two"),
+        (1, 3, "u", "> the first words\nOn Monday Bob wrote:" + " " * MANY + "\n" * MANY + "own three"),
+        (1, 4, "u", "> the first words\nown" + " " * MANY + "four"),
+        (1, 5, "u", "> > " * (MANY // 4) + "deep"),
+    ]
+    assert formatted(spark, rows) == brute(rows)
