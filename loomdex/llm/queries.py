@@ -11,6 +11,14 @@ from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Libraries beyond those of the engine that a query, or the pipeline, needs.
+LIBRARIES = {
+    "op9_langid": ("regex",),
+    "op10_bpe": ("tiktoken", "public_tokenizers"),
+    "op13_crosstok": ("tiktoken", "sentencepiece", "public_tokenizers"),
+    "pipeline": ("regex", "tiktoken", "public_tokenizers"),
+}
+
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import edited_neighbours
