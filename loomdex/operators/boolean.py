@@ -18,9 +18,8 @@ def hits(queries: DataFrame, index: Index) -> DataFrame:
     The known terms of a workload are few beside the postings: Spark sends them to the postings where their measured
     size allows it and shuffles by term otherwise.
     """
-    known = resolve(queries, index.lexicon)
-    found = known.groupBy("query_ord").agg(F.count("*").alias("n_found"))
-    return index.postings.join(known.join(found, "query_ord"), "term").select("query_ord", "qid", "term", "df", "n_found", "docid", "tf")
+    known = resolve(queries, index.lexicon).withColumn("n_found", F.count("*").over(Window.partitionBy("query_ord")))
+    return index.postings.join(known, "term").select("query_ord", "qid", "term", "df", "n_found", "docid", "tf")
 
 
 def and_docs(queries: DataFrame, index: Index) -> DataFrame:

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+from .ranges import SPAN
+
 
 def term_scan(postings: DataFrame, term: str) -> DataFrame:
     """Postings of one term. The filter reaches the Parquet scan, where files sorted by term skip the rest."""
     return postings.where(F.col("term") == term)
 
 
-def next_geq(postings: DataFrame, targets: DataFrame) -> DataFrame:
+def next_geq(postings: DataFrame, targets: DataFrame, span: int = SPAN) -> DataFrame:
     """First posting at or after each target: (term, target, docid, tf), null when there is none.
 
-    targets: (term, target). The postings of the terms meet the targets by term, and the least is taken while they
-    stream through a partial aggregate.
+    targets: (term, target), in any number. Targets and the postings of their terms are laid on one line for each term,
+    cut into ranges of ``span`` docids, and walked backwards once, so the work is that of a sort and no target meets
+    a posting twice. Where a range has none left, the answer is the first posting of a later one: one row for a range.
     """
-    ahead = targets.join(postings, "term").where("docid >= target").groupBy("term", "target").agg(F.min(F.struct("docid", "tf")).alias("_p"))
-    return targets.join(ahead, ["term", "target"], "left").select("term", "target", F.col("_p.docid").alias("docid"), F.col("_p.tf").alias("tf"))
+    asked = targets.groupBy("term", "target").agg(F.count("*").alias("_n"))  # repeated targets travel once
+    there = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    posted = there.select("term", F.col("docid").alias("_at"), F.struct("docid", "tf").alias("_p"), F.lit(0).cast("bigint").alias("_n"))
+    line = posted.unionByName(asked.select("term", F.col("target").alias("_at"), "_n"), allowMissingColumns=True).withColumn("_range", F.expr(f"_at div {span}"))
+    back = Window.partitionBy("term", "_range").orderBy(F.col("_at").desc(), "_n")  # a posting before the targets at its place
+    met = F.last("_p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    line = line.select("term", "_range", "_at", "_n", met.alias("_p"), F.lead("_n").over(back).isNull().alias("_lowest")).where("_n > 0 OR _lowest")
+    line = kept(line, "skips")  # targets and one row for a range, without the postings
+    later = Window.partitionBy("term").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = line.where("_lowest").select("term", "_range", F.last("_p", ignorenulls=True).over(later).alias("_later")).where("_later IS NOT NULL")
+    found = line.where("_n > 0").join(ahead, ["term", "_range"], "left").withColumn("_p", F.coalesce("_p", "_later"))
+    return found.select("term", F.col("_at").alias("target"), F.col("_p.docid").alias("docid"), F.col("_p.tf").alias("tf"), F.explode(F.expr("sequence(1L, _n)")).alias("_copy")).drop("_copy")
 
 
 def explode_terms(queries: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, slabs
 from ..functions.weights import idf_weight, tf_weight
-from ..operators import boolean, export, gaps, index, layout, lookup, ranked, workload
+from ..operators import boolean, export, gaps, index, layout, lookup, ranked, segments, workload
 from ..sources import docstream
 from . import sql
 
@@ -123,6 +123,16 @@ def next_geq(spark, sf_dir):
     return found.select("term", "target", F.coalesce("docid", F.lit(-1)).alias("docid"), F.coalesce("tf", F.lit(0)).alias("tf"))
 
 
+@query
+def next_geq_documents(spark, sf_dir):
+    """The next documents that hold a document's first word, and its last word a hundred documents on."""
+    d = _documents(spark, sf_dir)
+    ask = lambda at, step: F.struct(F.element_at("tokens", at).alias("term"), (F.col("docid") + step).alias("target"))
+    targets = d.where(F.size("tokens") > 0).select(F.explode(F.array(ask(1, 1), ask(-1, 100))).alias("t")).select("t.*")
+    found = lookup.next_geq(index.postings(d), targets)
+    return found.select("term", "target", F.coalesce("docid", F.lit(-1)).alias("docid"), F.coalesce("tf", F.lit(0)).alias("tf"))
+
+
 @query
 def query_terms(spark, sf_dir):
     return lookup.explode_terms(_workload(spark))
@@ -223,6 +233,58 @@ def benchmark_as_queries_ranked(spark, sf_dir):
     return ranked.ranked(_benchmark(spark, sf_dir), _index(spark, sf_dir), 10)
 
 
+#: Docids of a segment in the queries here, so that small collections have several.
+SEGMENT = 256
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> segments.Segments:
+    """The collection cut by docid, written and read back."""
+    path = f"{_folder(spark)}/segments"
+    segments.save(segments.cut(_index(spark, sf_dir), SEGMENT), path)
+    return segments.load(spark, path)
+
+
+@query
+def segment_bounds(spark, sf_dir):
+    """Length and largest frequency of each list in each segment."""
+    return segments.cut(_index(spark, sf_dir), SEGMENT).bounds
+
+
+@query
+def ranked_pruned(spark, sf_dir):
+    """Top ten where segments that cannot enter are not read."""
+    return segments.pruned(_workload(spark), _segments(spark, sf_dir), 10).result
+
+
+@query
+def benchmark_ranked_pruned(spark, sf_dir):
+    """Top ten of every benchmark text where segments that cannot enter are not read."""
+    return segments.pruned(_benchmark(spark, sf_dir), _segments(spark, sf_dir), 10).result
+
+
+@query
+def benchmark_ranked_segments(spark, sf_dir):
+    """Top ten of every benchmark text, all lists of a segment merged in one task."""
+    return segments.ranked(_benchmark(spark, sf_dir), _segments(spark, sf_dir), 10)
+
+
+@query
+def benchmark_and_segments(spark, sf_dir):
+    """Conjunctions of all benchmark texts, merged segment by segment."""
+    return segments.and_count(_benchmark(spark, sf_dir), _segments(spark, sf_dir))
+
+
+@query
+def benchmark_or_segments(spark, sf_dir):
+    """Disjunctions of all benchmark texts, merged segment by segment."""
+    return segments.or_count(_benchmark(spark, sf_dir), _segments(spark, sf_dir))
+
+
+@query
+def and_docs_segments(spark, sf_dir):
+    return segments.and_docs(_workload(spark), _segments(spark, sf_dir))
+
+
 @query
 def idf_table(spark, sf_dir):
     n = spark.sql("SELECT n, df FROM (SELECT explode(array(0L, 1L, 1000L, 1000000L)) AS n) CROSS JOIN (SELECT explode(array(1L, 2L, 999L, 1000L)) AS df)")

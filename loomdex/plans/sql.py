@@ -127,6 +127,9 @@ ORACLES: dict[str, str] = {
     "doc_term_frequency": f"WITH {PO} SELECT d.docid, t.term, coalesce(po.tf, 0) AS tf FROM (SELECT doc_id + 1 AS docid FROM documents) d CROSS JOIN (VALUES ('the'), ('of'), ('in'), ('que'), ('zzzzmissing')) t(term) LEFT JOIN po ON po.docid = d.docid AND po.term = t.term",
     "term_scan": f"WITH {PO} SELECT * FROM po WHERE term = 'the'",
     "next_geq": f"WITH {PO} SELECT t.term, t.target::BIGINT AS target, coalesce(min(po.docid), -1) AS docid, coalesce(arg_min(po.tf, po.docid), 0) AS tf FROM {_TARGETS} LEFT JOIN po ON po.term = t.term AND po.docid >= t.target GROUP BY 1, 2",
+    "next_geq_documents": f"""WITH {PO}, w AS (SELECT doc_id + 1 AS docid, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+t AS (SELECT w[1] AS term, docid + 1 AS target FROM w WHERE len(w) > 0 UNION ALL SELECT w[-1], docid + 100 FROM w WHERE len(w) > 0)
+SELECT t.term, t.target, coalesce(po.docid, -1) AS docid, coalesce(po.tf, 0) AS tf FROM t ASOF LEFT JOIN po ON t.term = po.term AND t.target <= po.docid""",
     "query_terms": f"WITH {_queries()} SELECT * FROM qt",
     "query_stats": f"WITH {_queries()} SELECT {len(WORKLOAD)}::BIGINT AS n_queries, count(*)::DOUBLE / {len(WORKLOAD)} AS mean_terms FROM qt",
     "resolved_terms": f"{_hits()} SELECT query_ord, qid, term, df FROM kn",
@@ -152,6 +155,13 @@ FROM o a""",
     "floor_percentiles": f"{_hits(True)}, c AS (SELECT count(*) AS m FROM ors GROUP BY query_ord) SELECT " + ", ".join(f"list_sort(list(m))[({p} * count(*)) // 100 + 1] AS p{p}" for p in (50, 90, 95, 99)) + " FROM c",
     "benchmark_as_queries_and": f"{_hits(True)} SELECT query_ord, qid, count(*) AS matches FROM ands GROUP BY query_ord, qid",
     "benchmark_as_queries_ranked": _top(10, benchmark=True),
+    "segment_bounds": f"WITH {PO} SELECT (docid - 1) // 256 AS segment, term, count(*) AS n, max(tf) AS max_tf FROM po GROUP BY 1, 2",
+    "ranked_pruned": _top(10),
+    "benchmark_ranked_pruned": _top(10, benchmark=True),
+    "benchmark_ranked_segments": _top(10, benchmark=True),
+    "benchmark_and_segments": f"{_hits(True)} SELECT query_ord, qid, count(*) AS matches FROM ands GROUP BY query_ord, qid",
+    "benchmark_or_segments": f"{_hits(True)} SELECT query_ord, qid, count(*) AS matches FROM ors GROUP BY query_ord, qid",
+    "and_docs_segments": f"{_hits()} SELECT * FROM ands",
     "idf_table": "SELECT n, df, round(ln(1 + n::DOUBLE / df::DOUBLE), 9) AS weight FROM (SELECT unnest([0, 1, 1000, 1000000])::BIGINT AS n) a, (SELECT unnest([1, 2, 999, 1000])::BIGINT AS df) b",
     "tf_table": "SELECT tf, round(ln(1 + tf::DOUBLE), 9) AS weight FROM range(1, 201) r(tf)",
     "dgaps": f"WITH {PO} SELECT *, docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0) AS dgap FROM po",

@@ -1,0 +1,129 @@
+"""Document-ordered evaluation over segments against the plans over postings."""
+
+import dataclasses
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomdex.functions.weights import TFIDF_FLOAT32
+from loomdex.operators import boolean, index, ranked, segments
+
+
+def collection(spark, n=600, seed=7):
+    """Documents of a skewed vocabulary; late ones repeat rare words often, so bounds differ between segments."""
+    r = random.Random(seed)
+    docs = []
+    for d in range(1, n + 1):
+        words = [f"w{min(int(r.paretovariate(0.7)), 60)}" for _ in range(r.randint(0, 30))]
+        docs.append((d, str(d), words + ["peak"] * (r.randint(20, 60) if d % 97 == 0 else r.random() < 0.3)))
+    return spark.createDataFrame(docs, "docid bigint, text_id string, tokens array<string>").repartition(3)
+
+
+QUERIES = [(1, "a", ["w1", "w2"]), (2, "b", ["peak"]), (3, "c", ["w5", "peak", "none"]), (4, "d", ["none"]), (5, "e", []), (6, "a", ["w1"]), (7, "f", ["w59", "w60", "w1"]), (8, None, ["w3", "w3", "w4"])]
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    built = index.build(collection(spark))
+    built = index.Index(built.documents.cache(), built.postings.cache(), built.lexicon.cache())
+    return built, spark.createDataFrame(QUERIES, "query_ord bigint, qid string, terms array<string>")
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("span, ks", [(1, (3,)), (16, (0, 1, 10)), (1 << 20, (5000,))])
+def test_equal_to_postings(made, span, ks):
+    built, asked = made
+    cut = segments.cut(built, span)
+    cut = dataclasses.replace(cut, pieces=cut.pieces.cache())
+    for k in ks:
+        want = rows(ranked.ranked(asked, built, k))
+        assert rows(segments.ranked(asked, cut, k)) == want
+        assert rows(segments.pruned(asked, cut, k).result) == want
+    if span != 16:
+        return
+    assert rows(segments.and_docs(asked, cut)) == rows(boolean.and_docs(asked, built))
+    assert rows(segments.or_docs(asked, cut)) == rows(boolean.or_docs(asked, built))
+    assert rows(segments.and_count(asked, cut)) == rows(boolean.and_count(asked, built))
+    assert rows(segments.or_count(asked, cut)) == rows(boolean.or_count(asked, built))
+
+
+def test_pruned_segments_hold_no_winner(made):
+    built, asked = made
+    cut = segments.cut(built, 16)
+    out = segments.pruned(asked, cut, 3)
+    best = out.result.select("query_ord", F.floor((F.col("docid") - 1) / 16).alias("segment"))
+    left_out = out.pairs.where("not read").select("query_ord", "segment")
+    assert left_out.count() > 20 and left_out.join(best, ["query_ord", "segment"]).isEmpty()
+    seen = segments.reached(out.pairs).first()
+    assert seen["read_postings"] < 0.8 * seen["postings"] and seen["read_pairs"] < seen["pairs"]
+    # what is read of the pieces: only those of pairs that may enter
+    assert out.pairs.where("read and upper + 0.00001 < threshold").count() <= 2 * len(QUERIES)
+
+
+def test_bounds_hold(made):
+    built, asked = made
+    cut = segments.cut(built, 50)
+    known = segments._known(asked, cut, None, segments.TFIDF)
+    scores = ranked.scores(asked, built).withColumn("segment", F.floor((F.col("docid") - 1) / 50))
+    met = scores.join(segments.pairs(known, cut), ["query_ord", "segment"], "left")
+    assert met.where("upper is null or score > upper + 0.000001").isEmpty()
+
+
+def test_options(made):
+    built, asked = made
+    cut = segments.cut(built, 32)
+    for options in ({"n": 0}, {"n": 10**9}, {"ranker": TFIDF_FLOAT32}):
+        want = rows(ranked.ranked(asked, built, 5, **options))
+        assert rows(segments.pruned(asked, cut, 5, **options).result) == want
+        assert rows(segments.ranked(asked, cut, 5, **options)) == want
+    assert rows(segments.pruned(asked, cut, 5, lead=0).result) == rows(ranked.ranked(asked, built, 5))
+    with pytest.raises(ValueError):
+        segments.cut(built, 0)
+
+
+def test_stored_and_empty(spark, made, tmp_path):
+    built, asked = made
+    segments.save(segments.cut(built, 64), str(tmp_path / "s"))
+    back = segments.load(spark, str(tmp_path / "s"))
+    assert back.span == 64 and rows(segments.pruned(asked, back, 4).result) == rows(ranked.ranked(asked, built, 4))
+    nothing = segments.cut(index.build(collection(spark).limit(0)))
+    assert rows(segments.pruned(asked, nothing).result) == [] and rows(segments.and_count(asked, nothing)) == []
+    assert rows(segments.pruned(asked.limit(0), back).result) == []
+
+
+def test_no_hit_is_shuffled(made):
+    """The exchanges between the pieces and the result carry pieces, bounds and each segment's best, never hits."""
+    built, asked = made
+    plan = segments.evaluate(segments._known(asked, segments.cut(built, 64), 5, segments.TFIDF), segments.cut(built, 64), "count")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "docid" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_next_geq_over_ranges(spark, made):
+    """The skip join against a search in Python: ranges of one and few docids, repeated, negative, late and unknown targets."""
+    from loomdex.operators import lookup
+
+    built, _ = made
+    lists = {}
+    for p in built.postings.collect():
+        lists.setdefault(p["term"], []).append((p["docid"], p["tf"]))
+    r = random.Random(2)
+    targets = [(r.choice(["w1", "w7", "w59", "peak", "none", None]), r.choice([None, -5, 0, 10**15, *range(1, 620)])) for _ in range(400)] * 2
+    want = sorted(((t, at, *min((p for p in lists.get(t, []) if at is not None and p[0] >= at), default=(None, None))) for t, at in targets), key=str)
+    df = spark.createDataFrame(targets, "term string, target bigint")
+    for span in (1, 50, 1 << 20):
+        assert rows(lookup.next_geq(built.postings, df, span)) == want
+    assert rows(lookup.next_geq(built.postings, df.limit(0))) == []
+
+
+def test_next_geq_is_linear(made, spark):
+    """No join of targets with postings: the rows that leave the line are targets and ranges."""
+    from loomdex.operators import lookup
+
+    built, _ = made
+    plan = lookup.next_geq(built.postings, spark.createDataFrame([("w1", 3)], "term string, target bigint"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "skips" in plan or "Relation" in plan
+    assert plan.count("Join") == 1
