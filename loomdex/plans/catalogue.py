@@ -117,6 +117,30 @@ def term_scan(spark, sf_dir):
     return lookup.term_scan(index.postings(_documents(spark, sf_dir)), "the")
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> str:
+    from ..sources import store
+
+    path = f"{_folder(spark)}/packed"
+    store.save_packed(_index(spark, sf_dir), path)
+    return path
+
+
+@query
+def point_lookup(spark, sf_dir):
+    """Postings of a few terms of a stored index, from the files that hold them."""
+    from ..sources.store import Lookup
+
+    return Lookup(spark, _packed(spark, sf_dir)).postings(list(TERMS))
+
+
+@query
+def point_and(spark, sf_dir):
+    """Documents with three words, from the files of a stored index that hold them."""
+    from ..sources.store import Lookup
+
+    return Lookup(spark, _packed(spark, sf_dir)).and_docs(["the", "and", "of"])
+
+
 @query
 def next_geq(spark, sf_dir):
     found = lookup.next_geq(index.postings(_documents(spark, sf_dir)), _values(spark, TARGETS, "term, target"))

@@ -126,6 +126,8 @@ ORACLES: dict[str, str] = {
     "conversation_lexicon": f"WITH {_tokens('conversations', 'conv_id * 100000 + turn')}, po AS (SELECT term, docid, count(*) AS tf FROM tok GROUP BY term, docid) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(docid) AS last_docid FROM po GROUP BY term",
     "doc_term_frequency": f"WITH {PO} SELECT d.docid, t.term, coalesce(po.tf, 0) AS tf FROM (SELECT doc_id + 1 AS docid FROM documents) d CROSS JOIN (VALUES ('the'), ('of'), ('in'), ('que'), ('zzzzmissing')) t(term) LEFT JOIN po ON po.docid = d.docid AND po.term = t.term",
     "term_scan": f"WITH {PO} SELECT * FROM po WHERE term = 'the'",
+    "point_lookup": f"WITH {PO} SELECT * FROM po WHERE term IN ('the', 'of', 'in', 'que', 'zzzzmissing')",
+    "point_and": f"WITH {PO} {_CHAIN}",
     "next_geq": f"WITH {PO} SELECT t.term, t.target::BIGINT AS target, coalesce(min(po.docid), -1) AS docid, coalesce(arg_min(po.tf, po.docid), 0) AS tf FROM {_TARGETS} LEFT JOIN po ON po.term = t.term AND po.docid >= t.target GROUP BY 1, 2",
     "next_geq_documents": f"""WITH {PO}, w AS (SELECT doc_id + 1 AS docid, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
 t AS (SELECT w[1] AS term, docid + 1 AS target FROM w WHERE len(w) > 0 UNION ALL SELECT w[-1], docid + 100 FROM w WHERE len(w) > 0)

@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.text import body, external_id, tokenize
 
 
+#: Splits of files whose counts are sent to all executors, at some hundred bytes each, and the parts of a split beyond that.
+SPLITS, SALTS = 200_000, 8
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files with their dense numbers from 1, in the order of file names and of lines.
 
-    Only ``\\n`` ends a line; blank lines count. Splits of files are numbered by a count for each split, so no text is
-    shuffled or sorted: a line's number is the lines of earlier splits plus its place in its own.
+    Only ``\\n`` ends a line; blank lines count. Splits of files are numbered by a count for each split: a line's number
+    is the lines of earlier splits plus its place in its own. The counts are sent to all executors, so that no text is
+    shuffled or sorted, up to ``SPLITS`` of them; beyond that the lines meet them in a salted join, which moves the text.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     raw = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"))
     splits = raw.groupBy("_file", "_at").agg(F.count("*").alias("_lines"), F.min("_seq").alias("_first"))
     before = Window.partitionBy(F.lit(0)).orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))  # one row for a split
-    numbered = raw.join(splits, ["_file", "_at"])
+    # each split is in one partition and begins one file or ends where another begins
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= SPLITS:
+        numbered = raw.join(F.broadcast(splits), ["_file", "_at"])
+    else:
+        salted = raw.withColumn("_salt", F.pmod("_seq", F.lit(SALTS)).cast("int"))
+        copies = splits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        numbered = salted.join(copies, ["_file", "_at", "_salt"])
     return numbered.select((F.col("_before") + F.col("_seq") - F.col("_first") + 1).alias("line"), "value")
 
 
