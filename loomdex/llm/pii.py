@@ -154,24 +154,51 @@ def candidates(text: Column, kind: str) -> Column:
 _RANKED = "array<struct<less:double,shorter:bigint,start:bigint,end:bigint,said:string>>"
 
 
+#: Undecided spans of a group that are looked through at once.
+OPEN = 32
+
+
+def _overlaps(spans: Column, x: Column) -> Column:
+    return F.exists(spans, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
+
+
+def _decided(group: Column, upto: Column) -> Column:
+    """Overlapping spans by rank, as (taken, open): a span is taken if it overlaps none before it, and open, with all
+    that it overlaps after it, if it ends after ``upto``, where spans that are not here yet may begin."""
+
+    def take(acc: Column, x: Column) -> Column:
+        more = lambda a, b: F.struct(F.concat(acc["taken"], a).cast(_RANKED).alias("taken"), F.concat(acc["open"], b).cast(_RANKED).alias("open"))
+        one, none = F.array(x).cast(_RANKED), F.array().cast(_RANKED)
+        stays = (x["end"] > upto) | _overlaps(acc["open"], x)
+        return F.when(_overlaps(acc["taken"], x), acc).when(stays, more(none, one)).otherwise(more(one, none))
+
+    return F.aggregate(F.array_sort(group), F.struct(F.array().cast(_RANKED).alias("taken"), F.array().cast(_RANKED).alias("open")), take)
+
+
 def _best(group: Column) -> Column:
     """Of overlapping spans, by rank, those that overlap none before them."""
-    take = lambda acc, x: F.when(F.exists(acc, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"])), acc).otherwise(F.concat(acc, F.array(x)).cast(_RANKED))
-    return F.when(F.size(group) < 2, group).otherwise(F.aggregate(F.array_sort(group), F.array().cast(_RANKED), take))
+    return F.when(F.size(group) < 2, group).otherwise(_decided(group, F.lit((1 << 63) - 1).cast("bigint"))["taken"])
 
 
 def select(scored: Column) -> Column:
     """Non-overlapping spans of an array of (s, margin), the largest margin first.
 
-    Spans in order of their starts fall into groups that nothing links, and each group is decided by itself.
+    Spans in order of their starts fall into groups that nothing links, and each group is decided by itself. Of a long
+    group those are decided on the way that no later span can reach, so that what is carried on is not the group but
+    the spans that still hang on what follows: those around the place, and runs of them that get better and better.
     """
     ordered = F.array_sort(F.transform(scored, lambda v: F.struct(v["s"]["start"].alias("start"), v["s"]["end"].alias("end"), v["s"]["said"].alias("said"), v["margin"].alias("margin"))))
-    start = F.struct(F.array().cast(_RANKED).alias("out"), F.array().cast(_RANKED).alias("group"), F.lit(0).cast("bigint").alias("end"))
+    start = F.struct(F.array().cast(_RANKED).alias("out"), F.array().cast(_RANKED).alias("group"), F.lit(0).cast("bigint").alias("end"), F.lit(OPEN).alias("most"))
 
     def step(acc: Column, v: Column) -> Column:
         one = F.array(F.struct((-v["margin"]).alias("less"), (v["start"] - v["end"]).alias("shorter"), v["start"].alias("start"), v["end"].alias("end"), v["said"].alias("said"))).cast(_RANKED)
-        apart = F.struct(F.concat(acc["out"], _best(acc["group"])).cast(_RANKED).alias("out"), one.alias("group"), v["end"].alias("end"))
-        return F.when(v["start"] >= acc["end"], apart).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["group"], one).cast(_RANKED).alias("group"), F.greatest(acc["end"], v["end"]).alias("end")))
+        state = lambda out, group, end, most: F.struct(out.alias("out"), group.alias("group"), end.alias("end"), most.alias("most"))
+        end = F.greatest(acc["end"], v["end"])
+        apart = state(F.concat(acc["out"], _best(acc["group"])).cast(_RANKED), one, v["end"], F.lit(OPEN))
+        longer = state(acc["out"], F.concat(acc["group"], one).cast(_RANKED), end, acc["most"])
+        # decided once and looked at three times; after that the group may grow to twice what is left of it
+        settled = F.element_at(F.transform(F.array(_decided(acc["group"], v["start"])), lambda d: state(F.concat(acc["out"], d["taken"]).cast(_RANKED), F.concat(d["open"], one).cast(_RANKED), end, F.greatest(F.lit(OPEN), F.size(d["open"]) * 2))), 1)
+        return F.when(v["start"] >= acc["end"], apart).when(F.size(acc["group"]) < acc["most"], longer).otherwise(settled)
 
     spans = fold(ordered, start, step, _RANKED, lambda acc: F.concat(acc["out"], _best(acc["group"])))
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["said"].alias("said")))

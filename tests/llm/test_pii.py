@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -217,3 +218,38 @@ def test_many_matches_take_linear_time(spark, model):
 def test_main_path_is_native(docs, model):
     plan = pii.find(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def greedy(values):
+    """The definition of ``select``: by margin, length and start; taken spans are few around a place, so a window is enough."""
+    taken = []
+    for v in sorted(values, key=lambda v: (-v[2], v[0] - v[1], v[0])):
+        if all(b <= v[0] or v[1] <= a for a, b in taken):
+            taken.append((v[0], v[1]))
+    return sorted(taken)
+
+
+def selected(spark, values):
+    s = F.transform(F.col("v"), lambda x: F.struct(F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("").alias("said")).alias("s"), x["margin"].alias("margin")))
+    d = spark.createDataFrame([(values,)], "v array<struct<start:bigint,end:bigint,margin:double>>")
+    return sorted((x["start"], x["end"]) for x in d.select(pii.select(s).alias("best")).first()["best"])
+
+
+@pytest.mark.parametrize("shape", ["equal", "rising", "falling", "waves", "random", "one over all", "steps"])
+def test_chains_of_overlapping_spans(spark, shape):
+    """Long groups that later spans link, decided on the way, against the definition."""
+    rng = random.Random(3)
+    n = 1200
+    margin = {"equal": lambda k: 1.0, "rising": lambda k: k / 7, "falling": lambda k: -k / 7, "waves": lambda k: float(k % 90 if k // 90 % 2 else 90 - k % 90), "random": lambda k: float(rng.randrange(9)), "one over all": lambda k: float(rng.randrange(9)), "steps": lambda k: float(k // 40)}[shape]
+    values = [(10 * k + rng.randint(0, 3), 10 * k + rng.randint(12, 45), margin(k)) for k in range(n)]
+    if shape == "one over all":
+        values.append((0, 10 * n + 50, 5.5))
+    rng.shuffle(values)
+    assert selected(spark, values) == greedy(values)
+
+
+def test_a_chain_of_many_numbers_takes_seconds(spark):
+    began = time.perf_counter()
+    values = [(13 * k, 13 * k + 25, 1.0) for k in range(100_000)]
+    assert selected(spark, values) == [(26 * k, 26 * k + 25) for k in range(50_000)]
+    assert time.perf_counter() - began < 60
