@@ -192,6 +192,56 @@ def words(column: pa.Array, letters: bool = False) -> Iterator[tuple[int, int, n
             lo = hi
 
 
+def heads(column: pa.Array, sizes: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Hashes of words of letters and of their first bytes, block by block: (lo, hi, counts, units).
+
+    Like ``words`` with ``letters``, but for a row of ``units`` for each of ``sizes``, after that of the words: the hash
+    of so many first bytes, 0 for words of no more. A longer text comes in several blocks, each with its row alone and
+    ending with a word, so that memory is bounded by BLOCK or by the longest word.
+    """
+    offsets, data = buffers(column)
+    lo, rows = 0, len(offsets) - 1
+    seeds = stream(123, max(sizes, default=0) + 1)
+
+    def block(part: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        power, inverse = _power_tables(max(len(part) + 1, BLOCK))
+        h, starts, ends, _ = _word_sums(part, first, True)
+        units = np.zeros((1 + len(sizes), len(h)), U64)
+        units[0] = mix(h)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[part] * power[: len(part)])])
+        for k, size in enumerate(sizes):
+            at = np.flatnonzero(ends - starts >= size)
+            units[1 + k, at] = mix((sums[starts[at] + size] - sums[starts[at]]) * inverse[starts[at]] + seeds[size])
+        return units, starts
+
+    with np.errstate(over="ignore"):
+        while lo < rows:
+            hi = min(max(int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1, lo + 1), rows)
+            base, at = offsets[lo], offsets[lo : hi + 1] - offsets[lo]
+            if at[-1] <= BLOCK:
+                part = data[base : offsets[hi]]
+                units, starts = block(part, at[:-1][at[:-1] < at[1:]]) if len(part) else (np.zeros((1 + len(sizes), 0), U64), np.zeros(0, np.int64))
+                yield lo, hi, np.diff(np.searchsorted(starts, at)), units
+            else:
+                begin, end, most = int(base), int(offsets[hi]), BLOCK
+                while begin < end:
+                    upto = min(begin + most, end)
+                    while upto < end and data[upto] & 0xC0 == 0x80:  # characters stay whole
+                        upto -= 1
+                    part = data[begin:upto]
+                    if upto < end:
+                        word, _ = letter_classes(part)
+                        outside = np.flatnonzero(~word & (np.append(part[1:], 0) & 0xC0 != 0x80))
+                        if not len(outside):
+                            most *= 2
+                            continue
+                        part = part[: int(outside[-1]) + 1]
+                    units, _ = block(part, np.zeros(0, np.int64))
+                    yield lo, hi, np.array([units.shape[1]]), units
+                    begin, most = begin + len(part), BLOCK
+            lo = hi
+
+
 def shingles(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of five words of each row, repeats kept, and how many each row has.
 

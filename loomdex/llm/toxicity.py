@@ -7,8 +7,10 @@ above zero keep that score, all others have a small negative one, so the score o
 that says nothing. The scan of Ruzzo and Tompa finds all maximal segments of a whole text in linear time. A segment of
 score S in a text of n words has the expected number K * n * exp(-lambda * S) by chance (Karlin and Altschul); lambda
 solves the equation of the clean words' scores and K is counted on clean texts. Segments expected less than once are
-significant; their excess, lambda * S - ln(K * n), is summed and a logistic curve turns it into a probability; the curve is fitted to documents
-whose words were learned from the other half of the sample.
+significant; their excess, lambda * S - ln(K * n), is summed and a logistic curve turns it into a score, which is laid so
+that a text at ``PREDICT_AT`` is as likely toxic as not; the curve is fitted to documents
+whose words were learned from the other parts of the sample. Beside words the beginnings of words are learned, of
+``HEADS`` bytes, as rare forms of a stem are seen too seldom; a word has the largest score of its own and its beginnings'.
 
 Words are runs of letters, and single characters in scripts without spaces (``textarrays.letter_classes``).
 
@@ -31,12 +33,16 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .minhash import signatures
-from .textarrays import words
+from .textarrays import heads
 
 PER_CLASS, SAMPLE_CHARS = 1500, 20_000
-#: Score of a word that says nothing, weight of the prior in words, words let in by chance, most words of the model.
-DRIFT, PRIOR, BY_CHANCE, MOST_WORDS = 0.15, 500.0, 0.5, 4096
+#: Score of a word that says nothing, weight of the prior in words, and words let in by chance.
+DRIFT, PRIOR, BY_CHANCE = 0.15, 500.0, 0.5
+#: Bytes of the beginnings of words that are learned beside words, as the forms of a stem share them.
+HEADS = (3, 4, 5, 6, 7, 8, 10, 12)
 PREDICT_AT = 0.7
+#: Parts of the sample: the evidence of each, to which the curve is fitted, is by words of the others.
+PARTS = 8
 
 
 @dataclass
@@ -48,6 +54,9 @@ class Model:
     slope: float
     offset: float
 
+    def score(self, evidence: float) -> float:
+        return float(1 / (1 + np.exp(-(self.offset + self.slope * evidence))))
+
 
 def segments(at: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of a text whose words at ``at`` have positive scores.
@@ -73,28 +82,44 @@ def segments(at: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> list[t
     return [(a, b, high - low) for a, b, low, high in out]
 
 
-def _hits(model: Model, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, places of scoring words in the row, their scores) for rows that have any."""
-    if not len(model.hashes):
-        return
-    place = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
-    hit = np.flatnonzero(model.hashes[place] == hashes)
-    ends = np.cumsum(counts)
-    row = np.searchsorted(ends, hit, "right")
-    edges = np.flatnonzero(np.diff(row)) + 1
-    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(hit)], strict=True):
-        if hi > lo:
-            r = int(row[lo])
-            yield r, hit[lo:hi] - (ends[r] - counts[r]), model.scores[place[hit[lo:hi]]]
+def _worth(model: Model, units: np.ndarray) -> np.ndarray:
+    """The score of each word: the largest of its own and of its beginnings', 0 without any."""
+    best = np.zeros(units.shape[1])
+    if len(model.hashes):
+        for row in units:
+            place = np.minimum(np.searchsorted(model.hashes, row), len(model.hashes) - 1)
+            np.maximum(best, np.where(model.hashes[place] == row, model.scores[place], 0), out=best)
+    return best
+
+
+def _scored(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, words, places of scoring words, their scores) for each text."""
+    row, words, places, scores = -1, 0, [], []
+    for lo, _, counts, units in heads(texts, HEADS):
+        worth, ends = _worth(model, units), np.cumsum(counts)
+        hit = np.flatnonzero(worth)
+        cut = np.searchsorted(hit, ends)
+        begin = 0
+        for k, n in enumerate(counts.tolist()):
+            if lo + k != row:  # else a long text goes on
+                if row >= 0:
+                    yield row, words, np.concatenate(places), np.concatenate(scores)
+                row, words, places, scores = lo + k, 0, [], []
+            own = hit[begin : cut[k]]
+            places.append(own - (ends[k] - n) + words)
+            scores.append(worth[own])
+            words, begin = words + n, cut[k]
+    if row >= 0:
+        yield row, words, np.concatenate(places), np.concatenate(scores)
 
 
 def passages(model: Model, texts: pa.Array) -> list[list[tuple[int, int, float, float]]]:
     """Significant passages of each text: (first word, last word, score, excess)."""
     out: list[list] = [[] for _ in range(len(texts))]
-    for lo, _, counts, hashes in words(texts, letters=True):
-        for row, at, scores in _hits(model, counts, hashes):
-            chance = np.log(model.k * counts[row])
-            out[lo + row] = [(a, b, s, e) for a, b, s in segments(at, scores) if (e := model.rate * s - chance) > 0]
+    for row, n, at, scores in _scored(model, texts):
+        if len(at):
+            chance = np.log(model.k * n)
+            out[row] = [(a, b, s, e) for a, b, s in segments(at, scores) if (e := model.rate * s - chance) > 0]
     return out
 
 
@@ -103,7 +128,7 @@ def _evidence(found: list[tuple[int, int, float, float]]) -> float:
 
 
 def _learn(seen: list[np.ndarray], y: np.ndarray) -> Model:
-    """Words, scores and lambda from the sets of words of labelled documents."""
+    """Words, beginnings, scores and lambda from the sets of both of labelled documents."""
     vocabulary, toxic = np.unique(np.concatenate([s for s, v in zip(seen, y, strict=True) if v]), return_counts=True)
     everything, total = np.unique(np.concatenate(seen), return_counts=True)
     in_all = total[np.searchsorted(everything, vocabulary)]
@@ -116,7 +141,6 @@ def _learn(seen: list[np.ndarray], y: np.ndarray) -> Model:
     odds = lambda c, n: np.log((c + prior) / (n + PRIOR - c - prior))
     score = odds(toxic, n_toxic) - odds(clean, n_clean) - 1.645 * np.sqrt(1 / (toxic + prior) + 1 / np.maximum(clean + prior, 0.5))
     keep = np.flatnonzero(sure & (score > 4 * DRIFT))
-    keep = np.sort(keep[np.argsort(-score[keep], kind="stable")[:MOST_WORDS]])
     model = Model(vocabulary[keep], score[keep], 1.0, 1.0, 1.0, 0.0)
     # lambda: mean of exp(lambda * score) over the words of clean texts is 1
     p = (clean[keep] + prior[keep]) / (n_clean + PRIOR)
@@ -131,11 +155,10 @@ def _learn(seen: list[np.ndarray], y: np.ndarray) -> Model:
 def _count_chance(model: Model, texts: pa.Array, y: np.ndarray) -> None:
     """K from the segments of clean texts that reach the least score of a word."""
     base, found, n = float(model.scores.min()) if len(model.scores) else 1.0, 0, 0
-    for lo, _, counts, hashes in words(texts, letters=True):
-        n += int(counts[y[lo : lo + len(counts)] == 0].sum())
-        for row, at, s in _hits(model, counts, hashes):
-            if not y[lo + row]:
-                found += sum(v >= base for *_, v in segments(at, s))
+    for row, words, at, s in _scored(model, texts):
+        if not y[row]:
+            n += words
+            found += sum(v >= base for *_, v in segments(at, s))
     model.k = float(np.clip((found + 0.5) / (max(1, n) * np.exp(-model.rate * base)), 1e-3, 1.0))
 
 
@@ -151,35 +174,35 @@ def fit(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0))
             fresh.append(i)
     texts, y = pa.array([rows[i][0] for i in fresh], pa.large_string()), np.array([rows[i][1] for i in fresh])
     seen: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(fresh)
-    for lo, _, counts, hashes in words(texts, letters=True):
+    for lo, _, counts, units in heads(texts, HEADS):
         ends = np.cumsum(counts)
         for i, (c, e) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
-            seen[lo + i] = np.unique(hashes[e - c : e])
+            own = np.unique(np.concatenate([seen[lo + i], units[:, e - c : e].ravel()]))
+            seen[lo + i] = own[own > 0]
     if not all(any(len(s) for s, v in zip(seen, y, strict=True) if v == k) for k in (0, 1)):
         return None
     model = _learn(seen, y)
     _count_chance(model, texts, y)
-    # evidence of each half by the words of the other
-    half = np.zeros(len(y), bool)
+    # evidence of each part by the words of the others
+    part_of = np.zeros(len(y), int)
     for k in (0, 1):
-        half[np.flatnonzero(y == k)[::2]] = True
+        part_of[y == k] = np.arange((y == k).sum()) % PARTS
     x = np.zeros(len(y))
-    for own in (half, ~half):
-        other = ~own if (~own).any() and len(set(y[~own].tolist())) == 2 else own
+    for own in [part_of == k for k in range(PARTS) if (part_of == k).any()]:
+        other = ~own if len(set(y[~own].tolist())) == 2 else own
         part = _learn([s for s, o in zip(seen, other, strict=True) if o], y[other])
         _count_chance(part, texts.filter(pa.array(other)), y[other])
         x[own] = [_evidence(f) for f in passages(part, texts.filter(pa.array(own)))]
     w = np.where(y == 1, weights[1], weights[0])
     w = w / w.sum() * len(w)
-    beta = np.zeros(2)
+    z, beta = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2)
     for _ in range(60):  # Newton's steps with a little ridge
-        z = 1 / (1 + np.exp(-(beta[0] + beta[1] * x)))
-        v = w * z * (1 - z) + 1e-9
-        g = np.array([(w * (y - z)).sum(), (w * (y - z) * x).sum()]) - 0.1 * beta
-        h = np.array([[v.sum() + 0.1, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.1]])
-        step = np.linalg.solve(h, g)
+        p = 1 / (1 + np.exp(-(z @ beta)))
+        v = w * p * (1 - p) + 1e-9
+        step = np.linalg.solve((z * v[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (w * (y - p)) - 0.1 * beta)
         beta += np.clip(step, -2, 2)
-    model.offset, model.slope = float(beta[0]), float(max(beta[1], 0.0))
+    # at PREDICT_AT a text is as likely toxic as not
+    model.offset, model.slope = float(beta[0] + np.log(PREDICT_AT / (1 - PREDICT_AT))), float(max(beta[1], 0.0))
     return model
 
 
@@ -203,14 +226,14 @@ SCORED = "score double, passages array<struct<first_word:bigint,last_word:bigint
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score and every significant passage, by its first and last word (runs of letters, from 0)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS words
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # words and beginnings of the bounded sample, those of them that pass the test
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("points", pa.float64()), ("excess", pa.float64())]))
         m = sent.value
         for batch in batches:
             found = passages(m, batch.column(1)) if m else [[] for _ in range(batch.num_rows)]
-            score = [float(1 / (1 + np.exp(-(m.offset + m.slope * _evidence(f))))) if m else 0.0 for f in found]
+            score = [m.score(_evidence(f)) if m else 0.0 for f in found]
             said = [[dict(zip(("first_word", "last_word", "points", "excess"), map(float, p), strict=True)) | {"first_word": int(p[0]), "last_word": int(p[1])} for p in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(said, kind)], ["doc_id", "score", "passages"])
 
