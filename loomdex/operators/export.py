@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.bytefiles import read_sequences, write_bytes
+from ..sources.scratch import kept
 from .gaps import dgaps
 from .ranges import SPAN, carried, within
 
@@ -53,37 +54,83 @@ def interleaved(postings: DataFrame) -> DataFrame:
     return dgaps(postings).select("term", (F.col("docid") - 1).alias("docid"), F.when(F.col("dgap") == F.col("docid"), F.col("dgap") - 1).otherwise(F.col("dgap")).alias("dgap"), "tf")
 
 
-def _write(path: str, rows: DataFrame, columns: list[str], mode: str = "wb") -> None:
-    """Numbers of sorted rows as little-endian 32-bit integers: tasks pack them, the driver joins the pieces in order."""
+def placed(rows: DataFrame, order: list[str], **sizes: Column) -> DataFrame:
+    """Add, for each of ``sizes``, its sum over all rows before, in ``order``.
+
+    The rows are cut into ranges of their order; a range counts on from the sums of the ones before, a row for each.
+    """
+    cut = kept(rows.withColumns({f"_{n}": c.cast("bigint") for n, c in sizes.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sizes])
+    sums = sums.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_above_{n}") for n in sizes])  # a row for each range
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(sums), "_range")
+    return out.select(*rows.columns, *[(F.col(f"_above_{n}") + F.coalesce(F.sum(f"_{n}").over(own), F.lit(0))).alias(n) for n in sizes])
+
+
+def _packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(at, data) of rows (place, ...): the columns as little-endian 32-bit integers, neighbouring rows in one piece."""
+    width = 4 * len(columns)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+            place = b.column(0).to_numpy()
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1).astype(np.int64)
+            if len(values) and (values.min() < 0 or values.max() >= 1 << 32):
+                raise ValueError("a value does not fit in 32 bits")
+            cuts = [0, *(np.flatnonzero(np.diff(place) != 1) + 1).tolist(), len(place)]
+            data = [values[lo:hi].astype("<u4").tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo]
+            yield pa.RecordBatch.from_arrays([pa.array([int(place[lo]) * width for lo in cuts[:-1] if lo < len(place)], pa.int64()), pa.array(data, pa.binary())], ["at", "data"])
+
+    return rows.select("place", *columns).repartitionByRange("place").sortWithinPartitions("place").mapInArrow(pack, "at bigint, data binary")
+
+
+def _lines(rows: DataFrame, text: str, order: list[str]) -> tuple[DataFrame, int]:
+    """(at, data) of lines of text in order, and the bytes of all."""
+    line = rows.select(*order, F.encode(F.concat(F.coalesce(text, F.lit("")), F.lit("\n")), "UTF-8").alias("data"))
+    at = placed(line, order, at=F.octet_length("data"))
+    return at.select("at", "data"), at.agg(F.max(F.col("at") + F.octet_length("data"))).first()[0] or 0
+
 
-    with open(path, mode) as f:
-        for r in rows.select(*columns).mapInArrow(pack, "data binary").toLocalIterator(prefetchPartitions=True):
-            f.write(r["data"])
+def list_starts(lexicon_: DataFrame) -> DataFrame:
+    """(term, df, number from 0, before): lists in the byte order of their terms, and the postings of all lists before."""
+    return placed(lexicon_.select("term", "df"), ["term"], number=F.lit(1), before=F.col("df"))
 
 
 def write_canonical(documents: DataFrame, postings: DataFrame, basename: str) -> None:
-    """Write ``.docs .freqs .sizes .terms .documents`` as single local files of the driver.
+    """Write ``.docs .freqs .sizes .terms .documents``, each one file that tasks fill side by side.
 
-    Spark sorts and packs; the driver streams the pieces, one partition at a time, and holds none back. documents:
-    (docid, text_id, length).
+    documents: (docid, text_id, length). basename lies in a folder that the driver and all executors mount. Places come
+    from sums over ranges of terms and of docids; the driver sees counts only.
     """
-    n = documents.count()
-    with open(f"{basename}.docs", "wb") as f:
-        f.write(struct.pack("<II", 1, n))
-    _write(f"{basename}.docs", docs_lists(postings).orderBy("term", "k"), ["value"], "ab")
-    _write(f"{basename}.freqs", freqs_lists(postings).orderBy("term", "k"), ["value"])
-    _write(f"{basename}.sizes", sizes(documents).orderBy("seq"), ["value"])
-    with open(f"{basename}.terms", "w", newline="\n") as f:
-        f.writelines(r["term"] + "\n" for r in postings.select("term").distinct().orderBy("term").toLocalIterator())
-    with open(f"{basename}.documents", "w", newline="\n") as f:
-        f.writelines((r["text_id"] or "") + "\n" for r in docmap(documents).orderBy("seq").toLocalIterator())
+    postings = kept(postings, "postings")  # read for each of the files
+    starts = kept(list_starts(postings.groupBy("term").agg(F.count("*").alias("df"))), "list_starts")
+    total = starts.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
+    n, words = documents.count(), total["terms"] + total["postings"]
+    place = F.col("before") + F.col("number") + F.col("k")
+    for kind, lists, head in (("docs", docs_lists(postings), 2), ("freqs", freqs_lists(postings), 0)):
+        rows = lists.join(starts, "term").select((place + head).alias("place"), "value")
+        if head:
+            rows = rows.union(postings.sparkSession.range(2).select("id", F.when(F.col("id") == 0, 1).otherwise(n).cast("bigint")))
+        write_bytes(_packed(rows, ["value"]), f"{basename}.{kind}", 4 * (words + head))
+    write_bytes(_packed(sizes(documents).withColumnRenamed("seq", "place"), ["value"]), f"{basename}.sizes", 4 * (n + 1))
+    for kind, rows, text, order in (("terms", starts, "term", ["term"]), ("documents", docmap(documents), "text_id", ["seq"])):
+        lines, size = _lines(rows, text, order)
+        write_bytes(lines, f"{basename}.{kind}", size)
 
 
 def write_interleaved(postings: DataFrame, basename: str) -> None:
-    """Write ``.interleaved``: pairs (gap, frequency), terms in byte order, as a single local file of the driver."""
-    _write(f"{basename}.interleaved", interleaved(postings).orderBy("term", "docid"), ["dgap", "tf"])
+    """Write ``.interleaved``: pairs (gap, frequency), terms in byte order, as one file that tasks fill side by side."""
+    postings = kept(postings, "postings")
+    starts = list_starts(postings.groupBy("term").agg(F.count("*").alias("df")))
+    at = F.row_number().over(within("docid")) + F.coalesce("_carry", F.lit(0)) - 1
+    rows = carried(interleaved(postings).withColumn("docid", F.col("docid") + 1), F.count("*"), F.sum).select("term", at.alias("_k"), "dgap", "tf")
+    rows = rows.join(starts, "term").select((F.col("before") + F.col("_k")).alias("place"), "dgap", "tf")
+    write_bytes(_packed(rows, ["dgap", "tf"]), f"{basename}.interleaved", 8 * postings.count())
+
+
+def read_canonical(spark: SparkSession, basename: str, kind: str) -> DataFrame:
+    """(number, k, value): the lists of a written ``docs`` or ``freqs``, or the one list of ``sizes``; at k = 0 its length."""
+    head = 1 if kind == "docs" else 0
+    rows = read_sequences(spark, f"{basename}.{kind}")
+    return rows.where(F.col("sequence") >= head).select((F.col("sequence") - head).alias("number"), "k", "value")

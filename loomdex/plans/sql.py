@@ -191,6 +191,7 @@ s AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM t
 SELECT *, vocabulary * 8 + blocks * 64 AS total_bytes, round((vocabulary * 8 + blocks * 64)::DOUBLE / n_words, 6) AS bytes_per_word, round((vocabulary * 8 + blocks * 64)::DOUBLE / n_postings, 6) AS bytes_per_posting FROM s""",
     "interleaved_export": f"WITH {PO} SELECT term, docid - 1 AS docid, docid - 1 - coalesce(lag(docid) OVER w - 1, 0) AS dgap, tf FROM po WINDOW w AS (PARTITION BY term ORDER BY docid)",
     "canonical_docs": f"WITH {PO} {_LISTS.format(value='docid - 1')}",
+    "canonical_read_back": f"WITH {PO} {_LISTS.format(value='docid - 1')}",
     "canonical_freqs": f"WITH {PO} {_LISTS.format(value='tf')}",
     "canonical_sizes": f"SELECT 0::BIGINT AS seq, count(*) AS value FROM documents UNION ALL SELECT doc_id + 1, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT FROM documents",
     "canonical_terms": f"WITH {TOK} SELECT DISTINCT term FROM tok",
