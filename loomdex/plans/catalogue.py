@@ -538,6 +538,20 @@ def stream_df(spark, sf_dir):
     return ingest.read_df(spark, f"{path}/df")
 
 
+@query
+def stream_gaps(spark, sf_dir):
+    """Gaps of lists that grow in three runs of a stream, each from the state that the one before left."""
+    from ..streaming import heads
+
+    path = _folder(spark)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1).alias("docid"), F.col("doc_id").cast("string").alias("text_id"), docstream.tokenize(F.col("text")).alias("tokens"))
+    top = d.agg(F.max("docid")).first()[0] or 0
+    for k in range(3):
+        d.where(f"docid > {top * k // 3} AND docid <= {top * (k + 1) // 3}").write.parquet(f"{path}/in/{k}")
+        heads.start_gaps(spark.readStream.schema(d.schema).parquet(f"{path}/in/*"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return heads.read_gaps(spark, f"{path}/out").select("term", "docid", "tf", "dgap")
+
+
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of docstream files in order of doc_id: the id, then the words, one document for each line."""
     path = f"{_folder(spark)}/text"

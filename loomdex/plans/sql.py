@@ -167,6 +167,7 @@ FROM o a""",
     "idf_table": "SELECT n, df, round(ln(1 + n::DOUBLE / df::DOUBLE), 9) AS weight FROM (SELECT unnest([0, 1, 1000, 1000000])::BIGINT AS n) a, (SELECT unnest([1, 2, 999, 1000])::BIGINT AS df) b",
     "tf_table": "SELECT tf, round(ln(1 + tf::DOUBLE), 9) AS weight FROM range(1, 201) r(tf)",
     "dgaps": f"WITH {PO} SELECT *, docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0) AS dgap FROM po",
+    "stream_gaps": f"WITH {PO} SELECT *, docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0) AS dgap FROM po",
     "dgap_roundtrip": f"WITH {PO} SELECT term, docid, tf FROM po",
     "word_gaps": f"{_GAPS} FROM tok",
     "positional_doc_gaps": f"""{_GAPS},
