@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bytefiles import read_sequences, write_bytes
 from ..sources.scratch import kept
 from .gaps import dgaps
-from .ranges import SPAN, carried, within
+from .ranges import SPAN, carried, placed, within
 
 
 def _lists(postings: DataFrame, value: str, span: int = SPAN) -> DataFrame:
@@ -54,20 +54,6 @@ def interleaved(postings: DataFrame) -> DataFrame:
     return dgaps(postings).select("term", (F.col("docid") - 1).alias("docid"), F.when(F.col("dgap") == F.col("docid"), F.col("dgap") - 1).otherwise(F.col("dgap")).alias("dgap"), "tf")
 
 
-def placed(rows: DataFrame, order: list[str], **sizes: Column) -> DataFrame:
-    """Add, for each of ``sizes``, its sum over all rows before, in ``order``.
-
-    The rows are cut into ranges of their order; a range counts on from the sums of the ones before, a row for each.
-    """
-    cut = kept(rows.withColumns({f"_{n}": c.cast("bigint") for n, c in sizes.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy("_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sizes])
-    sums = sums.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_above_{n}") for n in sizes])  # a row for each range
-    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(F.broadcast(sums), "_range")
-    return out.select(*rows.columns, *[(F.col(f"_above_{n}") + F.coalesce(F.sum(f"_{n}").over(own), F.lit(0))).alias(n) for n in sizes])
-
-
 def _packed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(at, data) of rows (place, ...): the columns as little-endian 32-bit integers, neighbouring rows in one piece."""
     width = 4 * len(columns)

@@ -248,6 +248,14 @@ def floor_percentiles(spark, sf_dir):
     return workload.floor_percentiles(boolean.or_count(_benchmark(spark, sf_dir), _index(spark, sf_dir)))
 
 
+@query
+def gap_percentiles(spark, sf_dir):
+    """Order statistics of the gaps of all lists."""
+    from ..functions.order_stats import percentiles
+
+    return percentiles(gaps.dgaps(index.postings(_documents(spark, sf_dir))), "dgap").select("n", "min", "p50", "p90", "p95", "p99", "max")
+
+
 @query
 def benchmark_as_queries_and(spark, sf_dir):
     return boolean.and_count(_benchmark(spark, sf_dir), _index(spark, sf_dir))

@@ -155,6 +155,7 @@ FROM o a""",
     "trec_run": f"{_scores()} SELECT query_ord, rank::BIGINT AS rank, qid || ' Q0 ' || docid || ' ' || rank || ' ' || format('{{:.6f}}', score) || ' loomdex' AS line FROM rk WHERE rank < 10",
     "match_stats": f"{_hits()}, c AS (SELECT count(*) AS m FROM ands GROUP BY query_ord) SELECT count(*) AS n, sum(m)::DOUBLE / count(*) AS mean, min(m) AS min, list_sort(list(m))[(50 * count(*)) // 100 + 1] AS p50, max(m) AS max FROM c",
     "floor_percentiles": f"{_hits(True)}, c AS (SELECT count(*) AS m FROM ors GROUP BY query_ord) SELECT " + ", ".join(f"list_sort(list(m))[({p} * count(*)) // 100 + 1] AS p{p}" for p in (50, 90, 95, 99)) + " FROM c",
+    "gap_percentiles": f"WITH {PO}, g AS (SELECT docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0) AS g FROM po), l AS (SELECT list_sort(list(g)) AS l, count(*) AS n FROM g) SELECT n, l[1] AS min, " + ", ".join(f"l[({p} * n) // 100 + 1] AS p{p}" for p in (50, 90, 95, 99)) + ", l[n] AS max FROM l",
     "benchmark_as_queries_and": f"{_hits(True)} SELECT query_ord, qid, count(*) AS matches FROM ands GROUP BY query_ord, qid",
     "benchmark_as_queries_ranked": _top(10, benchmark=True),
     "segment_bounds": f"WITH {PO} SELECT (docid - 1) // 256 AS segment, term, count(*) AS n, max(tf) AS max_tf FROM po GROUP BY 1, 2",
