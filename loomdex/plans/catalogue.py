@@ -560,6 +560,38 @@ def stream_gaps(spark, sf_dir):
     return heads.read_gaps(spark, f"{path}/out").select("term", "docid", "tf", "dgap")
 
 
+def _levels(spark: SparkSession, sf_dir: str):
+    """A store that a stream has filled in five runs, of which four are merged, with the folder it lies in."""
+    from ..streaming import levels
+
+    path = _folder(spark)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1).alias("docid"), F.col("doc_id").cast("string").alias("text_id"), docstream.tokenize(F.col("text")).alias("tokens"))
+    top = d.agg(F.max("docid")).first()[0] or 0
+    for k in range(5):
+        d.where(f"docid > {top * k // 5} AND docid <= {top * (k + 1) // 5}").write.parquet(f"{path}/in/{k}")
+        levels.start(spark.readStream.schema(d.schema).parquet(f"{path}/in/*"), f"{path}/store", f"{path}/checkpoint", numbered=True).awaitTermination()
+    return levels.Store(spark, f"{path}/store"), path
+
+
+@query
+def level_postings(spark, sf_dir):
+    """Postings of a store in levels, after merges between the batches."""
+    store, _ = _levels(spark, sf_dir)
+    return store.snapshot().postings
+
+
+@query
+def stream_answers(spark, sf_dir):
+    """Top ten of the workload, asked as a stream, on one version of a store in levels."""
+    from ..streaming import levels
+
+    store, path = _levels(spark, sf_dir)
+    asked = _workload(spark)
+    asked.write.parquet(f"{path}/asked")
+    levels.start_answers(spark.readStream.schema(asked.schema).parquet(f"{path}/asked"), store.path, f"{path}/asking", f"{path}/answers").awaitTermination()
+    return spark.read.parquet(f"{path}/answers").select("query_ord", "qid", "rank", "docid", "score")
+
+
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of docstream files in order of doc_id: the id, then the words, one document for each line."""
     path = f"{_folder(spark)}/text"

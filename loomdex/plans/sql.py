@@ -169,6 +169,8 @@ FROM o a""",
     "tf_table": "SELECT tf, round(ln(1 + tf::DOUBLE), 9) AS weight FROM range(1, 201) r(tf)",
     "dgaps": f"WITH {PO} SELECT *, docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0) AS dgap FROM po",
     "stream_gaps": f"WITH {PO} SELECT *, docid - coalesce(lag(docid) OVER (PARTITION BY term ORDER BY docid), 0) AS dgap FROM po",
+    "level_postings": f"WITH {PO} SELECT * FROM po",
+    "stream_answers": _top(10),
     "dgap_roundtrip": f"WITH {PO} SELECT term, docid, tf FROM po",
     "word_gaps": f"{_GAPS} FROM tok",
     "positional_doc_gaps": f"""{_GAPS},

@@ -36,7 +36,8 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def _numbered(batch: DataFrame, base: int) -> DataFrame:
+def numbered_lines(batch: DataFrame, base: int) -> DataFrame:
+    """(docid, text_id, tokens) of the lines of a batch, numbered on from ``base``."""
     raw = batch.withColumn("_seq", F.monotonically_increasing_id())
     splits = raw.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     before = Window.partitionBy(F.lit(0)).orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +53,7 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, numbered: bool = Fal
     try:
         earlier = _ledger(spark, path).where(F.col("batch_id") < batch_id).agg(F.max(F.col("base") + F.col("n")).alias("top")).first()["top"]
         base = earlier or 0
-        docs = batch if numbered else _numbered(batch, base)
+        docs = batch if numbered else numbered_lines(batch, base)
         # documents and their totals in one pass; postings once, and the lexicon from what was written
         stats, totals = with_totals(doc_stats(docs), f"batch-{batch_id}")
         stats.write.mode("overwrite").parquet(f"{path}/documents/batch_id={batch_id}")
