@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +31,20 @@ def order_statistic(values: list[float], p: int) -> float | None:
     return sorted(values)[min(len(values) - 1, p * len(values) // 100)] if values else None
 
 
-def timed(queries: list, ask: Callable[[object], int]) -> dict:
-    """Run ``ask`` for each query of a bounded list; latencies in microseconds of those with a match."""
-    spent, matched = [], []
+def timed(queries: Iterable, ask: Callable[[object], int], told: Callable[[object, float, int], None] | None = None) -> dict:
+    """Run ``ask`` for each query; latencies in microseconds of those with a match, each of which ``told`` hears of."""
+    spent, matched, asked = [], [], 0
     for q in queries:
         began = time.perf_counter()
         n = ask(q)
+        took, asked = (time.perf_counter() - began) * 1e6, asked + 1
         if n > 0:
-            spent.append((time.perf_counter() - began) * 1e6)
+            spent.append(took)
             matched.append(n)
+            if told:
+                told(q, took, n)
     mean = lambda x: sum(x) / len(x) if x else None
-    return {"queries": len(queries), "matched": len(matched), "latency_us": {"mean": mean(spent), **{f"p{p}": order_statistic(spent, p) for p in (50, 90, 95, 99)}}, "matches": {"mean": mean(matched), "min": min(matched, default=None), "p50": order_statistic(matched, 50), "max": max(matched, default=None)}}
+    return {"queries": asked, "matched": len(matched), "latency_us": {"mean": mean(spent), **{f"p{p}": order_statistic(spent, p) for p in (50, 90, 95, 99)}}, "matches": {"mean": mean(matched), "min": min(matched, default=None), "p50": order_statistic(matched, 50), "max": max(matched, default=None)}}
 
 
 def materialise(df: DataFrame) -> None:

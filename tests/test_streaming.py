@@ -60,15 +60,3 @@ def test_state_and_dry_run(spark, tmp_path):
     q = df.writeStream.format("memory").queryName("df_now").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert pairs(spark.table("df_now"), "term", "df") == [("a", 1), ("b", 2), ("c", 1)]
-
-
-def test_command_line_prints_every_row(spark, tmp_path, capsys):
-    from loomdex.__main__ import main
-
-    (tmp_path / "docs").write_text("".join(f"d{i} a b{i % 3}\n" for i in range(30)))
-    (tmp_path / "queries").write_text("".join(f"{q} a b{q % 3}\n" for q in range(120)))
-    main(["index", str(tmp_path / "docs"), str(tmp_path / "index")])
-    capsys.readouterr()
-    main(["ranked", str(tmp_path / "index"), str(tmp_path / "queries"), "10"])
-    lines = capsys.readouterr().out.splitlines()
-    assert len([x for x in lines if x.count("\t") >= 3]) == 1 + 120 * 10
