@@ -20,7 +20,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import uuid
