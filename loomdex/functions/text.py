@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: C-locale white space, spelled out: engines disagree on what their own class for it holds.
 SPACE = r"[ \t\n\x0B\f\r]+"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def tokenize(text: Column, max_token_bytes: int | None = None, split_long: bool = False) -> Column:
@@ -15,7 +16,8 @@ def tokenize(text: Column, max_token_bytes: int | None = None, split_long: bool
     With ``max_token_bytes`` longer tokens are cut to their longest prefix of so many bytes that ends at a character,
     or, with ``split_long``, broken into consecutive pieces of at most so many characters.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))  # so that empty words can be at no end
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
     if max_token_bytes is None:
         return words
     if split_long:

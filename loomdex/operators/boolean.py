@@ -8,38 +8,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .index import Index
 from .lookup import resolve
 
 
-def hits(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_ord, qid, term, df, n_found, docid, tf) for each posting of each known term of each query.
+def known_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_ord, qid, term, df, n_found) of the known terms of a workload."""
+    return resolve(queries, index.lexicon).withColumn("n_found", F.count("*").over(Window.partitionBy("query_ord")))
 
-    The known terms of a workload are few beside the postings: Spark sends them to the postings where their measured
-    size allows it and shuffles by term otherwise.
+
+def hits(known: DataFrame, index: Index) -> DataFrame:
+    """(docid, tf) and the columns of ``known`` for each posting of each known term of each query.
+
+    The known terms of a workload are few beside the postings. They are written first, so that Spark knows their size: it
+    sends them to the postings where that allows it, and then parts by docid stay as they are; else it shuffles by term.
     """
-    known = resolve(queries, index.lexicon).withColumn("n_found", F.count("*").over(Window.partitionBy("query_ord")))
-    return index.postings.join(known, "term").select("query_ord", "qid", "term", "df", "n_found", "docid", "tf")
+    return index.postings.join(kept(known, "known_terms"), "term")
+
+
+def named(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """``found`` with the qid of its query_ord, behind it. Hits are grouped by numbers only."""
+    names = queries.groupBy("query_ord").agg(F.first("qid").alias("qid"))
+    return found.join(names, "query_ord").select("query_ord", "qid", *[c for c in found.columns if c != "query_ord"])
+
+
+def _all_of(queries: DataFrame, index: Index) -> DataFrame:
+    met = hits(known_terms(queries, index).select("query_ord", "term", "n_found"), index)
+    return met.groupBy("query_ord", "docid").agg(F.count("*").alias("_k"), F.first("n_found").alias("_n")).where("_k = _n").select("query_ord", "docid")
+
+
+def _any_of(queries: DataFrame, index: Index) -> DataFrame:
+    return hits(resolve(queries, index.lexicon).select("query_ord", "term"), index).select("query_ord", "docid").distinct()
 
 
 def and_docs(queries: DataFrame, index: Index) -> DataFrame:
     """(query_ord, qid, docid) of the documents that hold all known terms."""
-    return hits(queries, index).groupBy("query_ord", "qid", "docid").agg(F.count("*").alias("_k"), F.first("n_found").alias("_n")).where("_k = _n").select("query_ord", "qid", "docid")
+    return named(_all_of(queries, index), queries)
 
 
 def or_docs(queries: DataFrame, index: Index) -> DataFrame:
     """(query_ord, qid, docid) of the documents that hold any term."""
-    return hits(queries, index).select("query_ord", "qid", "docid").distinct()
+    return named(_any_of(queries, index), queries)
 
 
 def and_count(queries: DataFrame, index: Index) -> DataFrame:
     """(query_ord, qid, matches) of the queries with a match."""
-    return and_docs(queries, index).groupBy("query_ord", "qid").agg(F.count("*").alias("matches"))
+    return named(_all_of(queries, index).groupBy("query_ord").agg(F.count("*").alias("matches")), queries)
 
 
 def or_count(queries: DataFrame, index: Index) -> DataFrame:
     """(query_ord, qid, matches) of the queries with a match."""
-    return or_docs(queries, index).groupBy("query_ord", "qid").agg(F.count("*").alias("matches"))
+    return named(_any_of(queries, index).groupBy("query_ord").agg(F.count("*").alias("matches")), queries)
 
 
 def and_chain(terms: list[str], index: Index) -> DataFrame:

@@ -7,6 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
+#: Postings of a part of ``of_terms``: what a task that meets them with a workload has at most, but for one document's.
+PART = 1_000_000
+
 
 @dataclass(frozen=True)
 class Index:
@@ -27,9 +32,24 @@ def tokens(documents: DataFrame) -> DataFrame:
     return documents.select("docid", F.posexplode("tokens").alias("_p", "term")).select("docid", (F.col("_p") + 1).alias("position"), "term")
 
 
+def counted(documents: DataFrame) -> DataFrame:
+    """(term, docid, tf) of each row by itself, without a shuffle: equal words lie together in the sorted tokens, and a
+    word's count is the distance from its first place to the next word's."""
+    s = documents.select("docid", F.sort_array("tokens").alias("_s"))
+    first = lambda w, i: F.when((i == 0) | ~w.eqNullSafe(F.get("_s", i - 1)), i)
+    s = s.select("docid", "_s", F.array_compact(F.transform("_s", first)).alias("_at"))
+    upto = lambda k: F.coalesce(F.get("_at", k + 1), F.size("_s"))
+    found = F.transform("_at", lambda i, k: F.struct(F.get("_s", i).alias("term"), (upto(k) - i).cast("bigint").alias("tf")))
+    return s.select("docid", F.inline(found)).select("term", "docid", "tf")
+
+
 def postings(documents: DataFrame) -> DataFrame:
-    """(term, docid, tf). All tokens of a document are in one task, so the map side sends each posting once."""
-    return documents.select("docid", F.explode("tokens").alias("term")).groupBy("term", "docid").agg(F.count("*").alias("tf"))
+    """(term, docid, tf). Documents are counted row by row; where rows share a docid, which a look at the docids tells,
+    their counts are summed."""
+    p = counted(documents)
+    if documents.groupBy("docid").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return p
+    return p.groupBy("term", "docid").agg(F.sum("tf").alias("tf"))
 
 
 def positional_postings(documents: DataFrame) -> DataFrame:
@@ -61,6 +81,13 @@ def build(documents: DataFrame) -> Index:
     return Index(doc_stats(documents), p, lexicon(p))
 
 
+def of_terms(index: Index, terms: DataFrame) -> Index:
+    """The part of an index that ``terms`` have, worked out once and written: all their postings, in parts by docid of
+    bounded size, and the lexicon that these give. documents stay whole."""
+    p = kept(index.postings.join(terms.select("term"), "term", "left_semi"), "asked_postings")
+    return Index(index.documents, p.repartition(1 + p.count() // PART, "docid"), lexicon(p))
+
+
 def append(index: Index, documents: DataFrame) -> Index:
     """The index with more documents. Their docids must be above all present ones; a repeat fails the query."""
     fresh = build(documents)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import TFIDF, Ranker
-from .boolean import hits
+from .boolean import hits, named
 from .index import Index
+from .lookup import resolve
 
 #: Scores are compared after rounding to so many places, so that equal ones tie on any partitioning.
 PLACES = 6
@@ -15,14 +16,12 @@ PLACES = 6
 
 def scores(queries: DataFrame, index: Index, n: int | None = None, ranker: Ranker = TFIDF) -> DataFrame:
     """(query_ord, qid, docid, score) with a score above 0. n: number of documents for idf, else that of the index."""
-    h = hits(queries, index)
-    if n is None:
-        h = h.crossJoin(index.n_docs.withColumnRenamed("n", "_n"))  # one row
-    else:
-        h = h.withColumn("_n", F.lit(n).cast("bigint"))
-    weight = ranker.tf(F.col("tf")) * ranker.idf(F.col("_n"), F.col("df"))
-    s = h.groupBy("query_ord", "qid", "docid").agg(F.round(F.sum(weight.cast("double")), PLACES).alias("score"))
-    return s.where("score > 0")
+    known = resolve(queries, index.lexicon)
+    total = index.n_docs.withColumnRenamed("n", "_n") if n is None else known.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("_n"))
+    known = known.crossJoin(total).select("query_ord", "term", ranker.idf(F.col("_n"), F.col("df")).alias("_idf"))  # one row
+    weight = (ranker.tf(F.col("tf")) * F.col("_idf")).cast("double")
+    s = hits(known, index).groupBy("query_ord", "docid").agg(F.round(F.sum(weight), PLACES).alias("score"))
+    return named(s.where("score > 0"), queries)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
