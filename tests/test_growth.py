@@ -67,3 +67,23 @@ def test_segments_are_cut_and_saved_without_moving(spark, tmp_path):
     segments.save(cut, str(tmp_path / "s"))
     assert rows(segments.load(spark, str(tmp_path / "s")).lexicon) == rows(built.lexicon)
     assert rows(cut.bounds) == rows(built.postings.groupBy(F.expr("(docid - 1) div 16").alias("segment"), "term").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf")))
+
+
+def test_lists_within_a_range_meet_no_carry(spark):
+    from loomdex.operators import gaps
+
+    p = index.postings(made(spark))
+    assert "Join" not in plan(gaps.dgaps(p)) and "Join" in plan(gaps.dgaps(p, 16))
+    assert rows(gaps.dgaps(p)) == rows(gaps.dgaps(p, 16)) and rows(gaps.from_dgaps(gaps.dgaps(p, 16), span=16)) == rows(p)
+
+
+def test_gaps_of_a_stream_are_counted_without_python(spark):
+    from loomdex.operators import gaps
+    from loomdex.streaming import heads
+
+    p = index.postings(made(spark))
+    late = p.where("docid > 60")
+    head = p.where("docid <= 60").groupBy("term").agg(F.count("*").alias("df"), F.max("docid").alias("last_docid"))
+    got = heads.gaps(late, head)
+    assert "Python" not in plan(got) and plan(got).count("Exchange hash") == 2  # of the line, and of the heads made here
+    assert rows(got.drop("place")) == rows(gaps.dgaps(p).where("docid > 60"))
