@@ -21,12 +21,14 @@ SPAN = 1 << 20
 def carried(rows: DataFrame, of_range: Column, over: Callable[[str], Column], span: int = SPAN, at: str = "docid") -> DataFrame:
     """The rows (term, ``at``, ...) with ``_range`` and ``_carry``: ``over`` of ``of_range`` in the term's earlier ranges.
 
-    The carry is null in a list's first range.
+    The carry is null in a list's first range. The rows are written first and read for what the ranges need; where all of
+    them lie in one range, which a look at their last place tells, no carry is worked out and nothing moves for it.
     """
-    rows = rows.withColumn("_range", F.floor((F.col(at) - 1) / span))
+    rows = kept(rows, "listed").withColumn("_range", F.floor((F.col(at) - 1) / span))
+    if (rows.agg(F.max("_range") - F.min("_range")).first()[0] or 0) == 0:
+        return rows.withColumn("_carry", F.lit(None).cast("bigint"))
     earlier = Window.partitionBy("term").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # _last reads every column, so that no column is pruned here and both sides of the join read one and the same shuffle
-    ranges = rows.groupBy("term", "_range").agg(of_range.alias("_of"), F.max(F.struct(at, *rows.columns)).alias("_last")).where("_last IS NOT NULL")
+    ranges = rows.groupBy("term", "_range").agg(of_range.alias("_of"))
     ranges = ranges.select("term", "_range", over("_of").over(earlier).alias("_carry")).where("_carry IS NOT NULL")
     return rows.join(ranges, ["term", "_range"], "left")
 
