@@ -18,8 +18,9 @@ from .ranges import SPAN, carried, placed, within
 def _lists(postings: DataFrame, value: str, span: int = SPAN) -> DataFrame:
     """(term, k, value): the length of each list at k = 0, then its values at k = 1, 2, ... in order of docid."""
     place = F.row_number().over(within("docid")) + F.coalesce("_carry", F.lit(0))
-    items = carried(postings, F.count("*"), F.sum, span).select("term", place.cast("bigint").alias("k"), F.col(value).cast("bigint").alias("value"))
-    counts = postings.groupBy("term").agg(F.count("*").alias("value")).select("term", F.lit(0).cast("bigint").alias("k"), "value")
+    rows = carried(postings, F.count("*"), F.sum, span)
+    items = rows.select("term", place.cast("bigint").alias("k"), F.col(value).cast("bigint").alias("value"))
+    counts = rows.groupBy("term").agg(F.count("*").alias("value")).select("term", F.lit(0).cast("bigint").alias("k"), "value")
     return counts.union(items)
 
 

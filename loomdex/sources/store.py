@@ -11,7 +11,8 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import Index, build
+from ..operators.index import Index, doc_stats, lexicon, postings
+from .scratch import kept
 
 FORMAT = 2
 #: Files of an index whose names and terms a lookup holds on the driver, some hundred bytes each; beyond, it asks the table.
@@ -33,18 +34,27 @@ def save(index: Index, path: str, mode: str = "errorifexists", positions: DataFr
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def save_packed(index: Index, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
+def save_built(documents: DataFrame, path: str, mode: str = "errorifexists", whole: bool = True) -> None:
+    """``save`` of the index of ``documents``: texts are counted once, and the lexicon comes from the written postings."""
+    p = kept(postings(documents), "postings")
+    save(Index(doc_stats(documents), p, lexicon(p)), path, mode, whole=whole)
+
+
+def save_packed(index: Index, path: str, partitions: int | None = None, mode: str = "errorifexists", stored: bool = False) -> None:
     """Write an index with every list contiguous: files hold ranges of terms, sorted by term and docid.
 
     Lookups of a term then read the row groups whose statistics hold it. A frequent term may span several files, as
-    the ranges are cut by (term, docid). The index itself is left as it is.
+    the ranges are cut by (term, docid). The index itself is left as it is. stored: its tables are files already.
     """
     spark = index.documents.sparkSession
     cut = lambda d, *keys: (d.repartitionByRange(partitions, *keys) if partitions else d.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     # a sort by range reads its input twice: the lists are written as they come first, so that texts are read once
-    index.postings.write.mode(mode).parquet(f"{path}/_loose")
-    loose = spark.read.schema(index.postings.schema).parquet(f"{path}/_loose")
-    counted = loose.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("docid").alias("last_docid"))
+    if stored:
+        loose, counted = index.postings, index.lexicon
+    else:
+        index.postings.write.mode(mode).parquet(f"{path}/_loose")
+        loose = spark.read.schema(index.postings.schema).parquet(f"{path}/_loose")
+        counted = lexicon(loose)
     save(Index(index.documents, cut(loose, "term", "docid"), cut(counted, "term")), path, mode)
     for name in ("postings", "lexicon"):
         files = spark.read.parquet(f"{path}/{name}").select("term", F.col("_metadata.file_path").alias("file"))
@@ -76,12 +86,12 @@ def append(spark: SparkSession, path: str, documents: DataFrame) -> None:
     if low is not None and low <= top:
         raise ValueError(f"docids must increase: {low} after {top}")
     _delete(spark, f"{path}/manifest")  # before the rows that it does not know
-    save(build(documents), path, mode="append", whole=False)
+    save_built(documents, path, mode="append", whole=False)
 
 
 def compact(spark: SparkSession, path: str, to: str, partitions: int | None = None) -> None:
     """Write a packed copy of a stored index to another folder."""
-    save_packed(load(spark, path), to, partitions)
+    save_packed(load(spark, path), to, partitions, stored=True)
 
 
 class Lookup:
