@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.bytefiles import read_sequences, write_bytes
+from ..sources.bytefiles import local_path, read_sequences, read_stretches, write_bytes
+from ..sources.docstream import lines as text_lines
 from ..sources.scratch import kept
 from .gaps import dgaps
+from .ordered import laid
 from .ranges import SPAN, carried, placed, within
 
 
@@ -87,23 +89,18 @@ def list_starts(lexicon_: DataFrame) -> DataFrame:
 def write_canonical(documents: DataFrame, postings: DataFrame, basename: str) -> None:
     """Write ``.docs .freqs .sizes .terms .documents``, each one file that tasks fill side by side.
 
-    documents: (docid, text_id, length). basename lies in a folder that the driver and all executors mount. Places come
-    from sums over ranges of terms and of docids; the driver sees counts only.
+    documents: (docid, text_id, length). basename lies in a folder that the driver and all executors mount. Lists move
+    once, packed (``ordered.laid``); of them the driver sees two terms and some counts for each range.
     """
-    postings = kept(postings, "postings")  # read for each of the files
-    starts = kept(list_starts(postings.groupBy("term").agg(F.count("*").alias("df"))), "list_starts")
-    total = starts.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
-    n, words = documents.count(), total["terms"] + total["postings"]
-    place = F.col("before") + F.col("number") + F.col("k")
-    for kind, lists, head in (("docs", docs_lists(postings), 2), ("freqs", freqs_lists(postings), 0)):
-        rows = lists.join(starts, "term").select((place + head).alias("place"), "value")
-        if head:
-            rows = rows.union(postings.sparkSession.range(2).select("id", F.when(F.col("id") == 0, 1).otherwise(n).cast("bigint")))
-        write_bytes(_packed(rows, ["value"]), f"{basename}.{kind}", 4 * (words + head))
+    documents, lists = kept(documents, "sized"), laid(postings)  # read for each of the files
+    n, head = documents.count(), 2
+    top = postings.sparkSession.createDataFrame([(0, b"".join(x.to_bytes(4, "little") for x in (1, n)))], "at bigint, data binary")
+    write_bytes(lists.words.select(((F.col("at") + head) * 4).alias("at"), F.col("docs").alias("data")).union(top), f"{basename}.docs", 4 * (lists.n_words + head))
+    write_bytes(lists.words.select((F.col("at") * 4).alias("at"), F.col("freqs").alias("data")), f"{basename}.freqs", 4 * lists.n_words)
     write_bytes(_packed(sizes(documents).withColumnRenamed("seq", "place"), ["value"]), f"{basename}.sizes", 4 * (n + 1))
-    for kind, rows, text, order in (("terms", starts, "term", ["term"]), ("documents", docmap(documents), "text_id", ["seq"])):
-        lines, size = _lines(rows, text, order)
-        write_bytes(lines, f"{basename}.{kind}", size)
+    write_bytes(lists.lines, f"{basename}.terms", lists.n_bytes)
+    lines, size = _lines(docmap(documents), "text_id", ["seq"])
+    write_bytes(lines, f"{basename}.documents", size)
 
 
 def write_interleaved(postings: DataFrame, basename: str) -> None:
@@ -121,3 +118,15 @@ def read_canonical(spark: SparkSession, basename: str, kind: str) -> DataFrame:
     head = 1 if kind == "docs" else 0
     rows = read_sequences(spark, f"{basename}.{kind}")
     return rows.where(F.col("sequence") >= head).select((F.col("sequence") - head).alias("number"), "k", "value")
+
+
+def read_named(spark: SparkSession, basename: str, kind: str) -> DataFrame:
+    """(term, k, value): the lists of a written ``docs`` or ``freqs`` with their terms, by the order of ``.terms``.
+
+    A stretch of a list is one row when it meets its term, so values do not move one by one.
+    """
+    head = 1 if kind == "docs" else 0
+    terms = text_lines(spark, f"file://{local_path(basename)}.terms").select((F.col("line") - 1 + head).alias("sequence"), F.col("value").alias("term"))
+    met = read_stretches(spark, f"{basename}.{kind}").where(F.col("sequence") >= head).join(terms, "sequence")
+    rows = met.select("term", F.col("k").alias("_k"), F.posexplode("words").alias("_p", "_w"))
+    return rows.select("term", (F.col("_k") + F.col("_p")).alias("k"), F.col("_w").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")).alias("value"))

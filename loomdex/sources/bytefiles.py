@@ -1,4 +1,5 @@
-"""Single binary files written and read by many tasks: Python data sources ``loomdex_bytes`` and ``loomdex_sequences``.
+"""Single binary files written and read by many tasks: Python data sources ``loomdex_bytes``,
+``loomdex_sequences`` and ``loomdex_stretches``.
 
 The sink takes rows (at, data) and puts the bytes at their place in one file, so tasks write in any order and a task that
 runs twice writes the same bytes again; the file gets its name when all have ended and every byte is there. No byte of
@@ -144,6 +145,39 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(places), pa.array(words)], ["sequence", "k", "value"])
 
 
+class _StretchReader(_Reader):
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        sequence, k, left = partition.sequence, partition.k, partition.left
+        with open(self.path, "rb") as file:
+            file.seek(partition.lo * 4)
+            for lo in range(partition.lo, partition.hi, CHUNK):
+                words, at, rows = np.frombuffer(file.read(min(CHUNK, partition.hi - lo) * 4), "<u4"), 0, []
+                while at < len(words):
+                    n = min(left, len(words) - at) if k else min(1 + int(words[at]), len(words) - at)
+                    left = left - n if k else 1 + int(words[at]) - n
+                    rows.append((sequence, k, at))
+                    at, k = at + n, k + n
+                    if not left:
+                        sequence, k = sequence + 1, 0
+                columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+                stretches = pa.ListArray.from_arrays(pa.array(np.append(columns[2], len(words)).astype(np.int32)), pa.array(words.view("<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), stretches], ["sequence", "k", "words"])
+
+
+class StretchesSource(DataSource):
+    """Options as of SequencesSource. Rows: sequence from 0, k of the first word (0: the length), words with their sign."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "loomdex_stretches"
+
+    def schema(self) -> str:
+        return "sequence bigint, k bigint, words array<int>"
+
+    def reader(self, schema: StructType) -> _StretchReader:
+        return _StretchReader(local_path(self.options["path"]), int(self.options.get("words", PART)))
+
+
 class SequencesSource(DataSource):
     """Options: path, words (of a part at most). Rows: sequence from 0, k (0: the length), value."""
 
@@ -168,3 +202,10 @@ def read_sequences(spark: SparkSession, path: str, words: int = PART) -> DataFra
     """(sequence, k, value) of a file of sequences: the lists of ``.docs`` after its header, of ``.freqs`` or ``.sizes``."""
     spark.dataSource.register(SequencesSource)
     return spark.read.format("loomdex_sequences").option("path", path).option("words", words).load()
+
+
+def read_stretches(spark: SparkSession, path: str, words: int = PART) -> DataFrame:
+    """(sequence, k, words) of a file of sequences: a row for each sequence, or for each of the parts that a long one is
+    read in. words are the file's 32 bits; one of 2^31 and more is negative."""
+    spark.dataSource.register(StretchesSource)
+    return spark.read.format("loomdex_stretches").option("path", path).option("words", words).load()
