@@ -43,11 +43,11 @@ def counted(documents: DataFrame) -> DataFrame:
     return s.select("docid", F.inline(found)).select("term", "docid", "tf")
 
 
-def postings(documents: DataFrame) -> DataFrame:
+def postings(documents: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """(term, docid, tf). Documents are counted row by row; where rows share a docid, which a look at the docids tells,
-    their counts are summed."""
+    their counts are summed. numbers: a table of the same docids, where documents are dear to read for that."""
     p = counted(documents)
-    if documents.groupBy("docid").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+    if (documents if numbers is None else numbers).groupBy("docid").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
         return p
     return p.groupBy("term", "docid").agg(F.sum("tf").alias("tf"))
 

@@ -68,6 +68,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Give a folder another name in the same store; False if it is not there."""
+    at, name = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return False
+    fs.mkdirs(name.getParent())
+    if not fs.rename(at, name):
+        raise OSError(f"{path} could not be named {to}")
+    return True
+
+
 def load(spark: SparkSession, path: str) -> Index:
     """Read an index. Lexicon rows of several appends are summed; one that is whole is read as it is."""
     meta = spark.read.parquet(f"{path}/meta").first()

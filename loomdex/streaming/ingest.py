@@ -7,6 +7,8 @@ twice. Order of documents is order of arrival.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,7 +16,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.text import body, external_id, tokenize
 from ..operators.index import Index, doc_stats, lexicon, postings
 from ..operators.workload import with_totals
+from ..sources.store import move
 
+#: Documents of a file of ``arrivals``.
+ARRIVING = 2048
 _LEDGER = "batch_id bigint, base bigint, n bigint, postings bigint, words bigint"
 
 
@@ -26,6 +31,21 @@ def docstream(spark: SparkSession, path: str, files_per_batch: int | None = None
     return reader.load(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
 
 
+def arrivals(documents: DataFrame, path: str, n: int, each: int = ARRIVING) -> Iterator[DataFrame]:
+    """(docid, text_id, tokens) as a stream of which a further n-th, by docid, has come whenever the next is asked for.
+
+    The documents are worked out once, all parts side by side, into files of at most ``each``, so that a part is work for
+    every core wherever it lay; a part then arrives by the name of its folder.
+    """
+    spark, top = documents.sparkSession, documents.agg(F.max("docid")).first()[0] or 0
+    part = F.coalesce(*[F.when(F.col("docid") <= top * (k + 1) // n, k) for k in range(n)])
+    documents.withColumn("part", part).write.partitionBy("part").option("maxRecordsPerFile", each).parquet(f"{path}/coming")
+    for k in range(n):
+        if not move(spark, f"{path}/coming/part={k}", f"{path}/in/{k}"):
+            documents.limit(0).write.parquet(f"{path}/in/{k}")  # no document in this part
+        yield spark.readStream.schema(documents.schema).parquet(f"{path}/in/*")
+
+
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
     """Numbers given out by each committed batch."""
     try:

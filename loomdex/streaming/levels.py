@@ -107,19 +107,23 @@ class Store:
         if any(r.first <= batch_id <= r.last for r in runs):
             return
         base = max((r.base + r.n for r in runs), default=0)
-        batch = batch.persist()
+        if not numbered:
+            batch = batch.persist()  # lines are counted and numbered by one reading
         try:
             docs = batch if numbered else numbered_lines(batch, base)
             name = f"batch-{batch_id}-{uuid.uuid4().hex}"
             at = f"{self.path}/runs/{name}"
             stats, totals = with_totals(doc_stats(docs), name)
             stats.write.parquet(f"{at}/documents")
-            postings(docs).sortWithinPartitions("term", "docid").write.parquet(f"{at}/postings")
+            # a batch of a stream is read whole each time, so the docids come from what was written
+            numbers = self.spark.read.schema(_TABLES["documents"]).parquet(f"{at}/documents")
+            postings(docs, numbers).sortWithinPartitions("term", "docid").write.parquet(f"{at}/postings")
             lexicon(self.spark.read.schema(_TABLES["postings"]).parquet(f"{at}/postings")).write.parquet(f"{at}/lexicon")
         finally:
-            batch.unpersist()
+            if not numbered:
+                batch.unpersist()
         seen = totals.get
-        top = self.spark.read.schema(_TABLES["documents"]).parquet(f"{at}/documents").agg(F.max("docid")).first()[0] or base
+        top = numbers.agg(F.max("docid")).first()[0] or base
         run = Run(name, 0, base, top - base, seen["postings"] or 0, seen["words"] or 0, batch_id, batch_id)
         while not self.commit(version, [*runs, run]):  # a merge came between
             version, runs = self.runs()

@@ -89,3 +89,21 @@ def test_a_merge_that_lost_against_a_batch(spark, tmp_path, monkeypatch):
     assert merge(store, 3) == 1
     assert [r.level for r in store.runs()[1]] == [1, 0]
     same(spark, store.snapshot(), docs)
+
+
+def test_parts_that_arrive_are_spread_over_files(spark, tmp_path):
+    docs = [(d, str(d), ["x", f"y{d % 7}"]) for d in range(1, 101) if not 41 <= d <= 60]  # the third part is empty
+    one = spark.createDataFrame(docs, DOCS).coalesce(1)
+    seen = []
+    for k, arrived in enumerate(ingest.arrivals(one, str(tmp_path / "from"), 5, 4)):
+        levels.start(arrived, str(tmp_path / "store"), str(tmp_path / "cp"), numbered=True).awaitTermination()
+        come = spark.read.schema(DOCS).parquet(str(tmp_path / "from" / "in" / str(k)))
+        seen.append((len(come.inputFiles()) if k != 2 else 5, sorted(r["docid"] for r in come.collect())))
+    assert seen == [(5, [d for d, _, _ in docs if 20 * k < d <= 20 * k + 20]) for k in range(5)]  # one file each before
+    same(spark, levels.Store(spark, str(tmp_path / "store")).snapshot(), docs)
+
+
+def test_repeated_docids_of_a_batch(spark, tmp_path):
+    store = levels.Store(spark, str(tmp_path / "store"))
+    store.write_batch(spark.createDataFrame([(1, "1", ["a", "b"]), (1, "1", ["a"]), (2, "2", ["a"])], DOCS), 0, numbered=True)
+    assert rows(store.snapshot().postings, "term", "docid", "tf") == [("a", 1, 2), ("a", 2, 1), ("b", 1, 1)]
